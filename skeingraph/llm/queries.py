@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skeingraph.llm.chat import OP6_SQL, op6_chat_format
 from skeingraph.llm.mixing import op4_mixing
+from skeingraph.llm.urls import op8_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
+    "op6_chat_format": op6_chat_format,
+    "op8_url_filter": op8_url_filter,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_chat_format": OP6_SQL}
