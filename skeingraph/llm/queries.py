@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skeingraph.llm.chat import OP6_SQL, op6_chat_format
 from skeingraph.llm.mixing import op4_mixing
+from skeingraph.llm.secrets import OP1_SQL, op1_secret_scan
 from skeingraph.llm.urls import op8_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
     "op4_mixing": op4_mixing,
     "op6_chat_format": op6_chat_format,
     "op8_url_filter": op8_url_filter,
 }
-ORACLES: dict[str, str] = {"op6_chat_format": OP6_SQL}
+ORACLES: dict[str, str] = {"op1_secret_scan": OP1_SQL, "op6_chat_format": OP6_SQL}
