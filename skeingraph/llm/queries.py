@@ -10,12 +10,16 @@ from skeingraph.llm.chat import OP6_SQL, op6_chat_format
 from skeingraph.llm.langid import op7_language
 from skeingraph.llm.media import op10_media
 from skeingraph.llm.mixing import op4_mixing
+from skeingraph.llm.quality import op2_quality
 from skeingraph.llm.secrets import OP1_SQL, op1_secret_scan
+from skeingraph.llm.toxicity import op5_toxicity
 from skeingraph.llm.urls import op8_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_quality": op2_quality,
     "op4_mixing": op4_mixing,
+    "op5_toxicity": op5_toxicity,
     "op6_chat_format": op6_chat_format,
     "op7_language": op7_language,
     "op8_url_filter": op8_url_filter,
