@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from skeingraph.llm.chat import OP6_SQL, op6_chat_format
+from skeingraph.llm.decontaminate import op9_decontamination
 from skeingraph.llm.langid import op7_language
 from skeingraph.llm.media import op10_media
 from skeingraph.llm.mixing import op4_mixing
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_chat_format": op6_chat_format,
     "op7_language": op7_language,
     "op8_url_filter": op8_url_filter,
+    "op9_decontamination": op9_decontamination,
     "op10_media": op10_media,
 }
 ORACLES: dict[str, str] = {"op1_secret_scan": OP1_SQL, "op6_chat_format": OP6_SQL}

@@ -10,6 +10,9 @@ import pyarrow as pa
 U64 = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: What parts words where punctuation does not count: every ASCII byte but letters and digits.
+PUNCTUATED = np.ones(256, bool)
+PUNCTUATED[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 _BASE = U64(0x9E3779B97F4A7C15)  # odd, so invertible modulo 2**64
 _INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _STEP = np.array([pow(0xD1342543DE82EF95, k + 1, 1 << 64) for k in range(16)], U64)
@@ -55,14 +58,14 @@ def runs(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
 
 
 class Words:
-    """The words (runs of non-white-space bytes) of several texts, with a 64-bit hash each."""
+    """The words (runs of non-white-space bytes) of several texts, with a 64-bit hash each; ``between`` marks the bytes that part words."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], between: np.ndarray = _SPACE):
         blob = b"\n".join(texts) + b"\n"
         data = np.frombuffer(blob, np.uint8)
         lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
         self.offsets = np.concatenate([[0], np.cumsum(lengths)])
-        space = _SPACE[data]
+        space = between[data]
         edge = np.diff(space.astype(np.int8), prepend=np.int8(1))
         self.starts = np.flatnonzero(edge == -1)
         self.ends = np.flatnonzero(edge == 1)
