@@ -11,6 +11,7 @@ from skeingraph.llm.decontaminate import op9_decontamination
 from skeingraph.llm.langid import op7_language
 from skeingraph.llm.media import op10_media
 from skeingraph.llm.mixing import op4_mixing
+from skeingraph.llm.neardup import op3_near_duplicates
 from skeingraph.llm.quality import op2_quality
 from skeingraph.llm.secrets import OP1_SQL, op1_secret_scan
 from skeingraph.llm.toxicity import op5_toxicity
@@ -19,6 +20,7 @@ from skeingraph.llm.urls import op8_url_filter
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_quality": op2_quality,
+    "op3_near_duplicates": op3_near_duplicates,
     "op4_mixing": op4_mixing,
     "op5_toxicity": op5_toxicity,
     "op6_chat_format": op6_chat_format,
