@@ -1,5 +1,63 @@
-"""The corpus pipeline: documents through stages, each written and reread before the next."""
-STAGES = []
-ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+"""The corpus pipeline: ``documents`` through five stages, each written as Parquet and reread as the next one's input.
+
+1. language: documents whose language is unknown (no letter) or scored below 0.5 go.
+2. near_duplicates: one document of each class of near-duplicates stays.
+3. decontamination: documents with a passage of ``benchmark`` go.
+4. secrets: found secrets are replaced by ``<kind>`` in the text (``n_chars`` follows where it is a column); no document goes.
+5. mixing: documents are drawn by source up to the target weights, a row for each time that one is taken, with its output
+   shard and its place there.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skeingraph.llm import decontaminate, langid, mixing, neardup, secrets
+from skeingraph.session import fresh_path, written
+from skeingraph.sources.tables import table
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return langid.accepted(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.deduplicated(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = secrets.scan_paths(docs, secrets.Ledger(spark, fresh_path(spark, "ledger")))
+    found = found.withColumn("text", secrets.redacted(F.col("text"), F.col("_spans")))
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return found.select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secrets", secret_scan),
+    ("mixing", mixture),
+]
+
+#: Several stages (the classifier, sketches, alignments) cannot be said in SQL; tests compare them with brute force.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return docs
