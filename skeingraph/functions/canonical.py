@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skeingraph.session import written
+
 
 def canonical(df: DataFrame, roles: list[str], attributes: list[str], parts: int = 0) -> DataFrame:
     """``ref`` (fact:N in the order of the canonical key), ``multiplicity``, roles and attributes. The ordinal is found without one global
@@ -14,6 +16,7 @@ def canonical(df: DataFrame, roles: list[str], attributes: list[str], parts: int
     key = F.to_json(F.array(*[F.coalesce(F.col(k).cast("string"), F.lit("\0")) for k in keys]))
     ranged = facts.withColumn("_key", key)
     ranged = ranged.repartitionByRange(parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_key").withColumn("_part", F.spark_partition_id())
+    ranged = written(ranged, "facts")  # read twice: the ranges must be the same
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row for each partition
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     numbered = ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy("_key")) - 1).join(F.broadcast(before), "_part")

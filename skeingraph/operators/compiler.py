@@ -160,10 +160,10 @@ class Compiler:
         for name, col in types.items():
             if col.type.startswith("entity:"):
                 entity = self.bound(col.type[7:], name)
-                gone = F.raise_error(F.concat(F.lit("values: there is no "), named(name)))
                 df = df.join(entity, named(name) == named(part(name, "ref")), "left")
-                ref = named(part(name, "ref"))
-                df = df.withColumn(part(name, "ref"), F.when(named(name).isNotNull() & ref.isNull(), gone.cast("string")).otherwise(ref)).drop(name)
+                absent = named(name).isNotNull() & named(part(name, "ref")).isNull()
+                gone = F.raise_error(F.concat(F.lit("values: there is no "), named(name))).cast("boolean")
+                df = df.where(F.when(absent, gone).otherwise(F.lit(True))).drop(name)
         return Relation(df, {}, ["§o0"])
 
     # row operators -----------------------------------------------------------------------------------------------

@@ -87,7 +87,7 @@ def compactness(edges: DataFrame, positions: DataFrame, fraction: float = 1.0, s
     # random pairs: both ends shuffled by hash and numbered by it, so that no cross join is needed
     numbered = lambda tag, salt: positions.select(F.col("node"), *"xyz").withColumn("k", F.row_number().over(Window.orderBy(F.xxhash64("node", F.lit(salt))))).select("k", *[F.col(c).alias(f"{tag}_{c}") for c in "xyz"])
     rest = numbered("src", seed).join(numbered("dst", seed + 1), "k").agg(F.avg(length).alias("random"))
-    return own.crossJoin(rest).select((F.col("edge") / F.col("random")).alias("compactness"))
+    return own.withColumn("one", F.lit(1)).join(rest.withColumn("one", F.lit(1)), "one").select((F.col("edge") / F.col("random")).alias("compactness"))
 
 
 def ranks(nodes: DataFrame, by: str, tie: str) -> DataFrame:
@@ -95,7 +95,7 @@ def ranks(nodes: DataFrame, by: str, tie: str) -> DataFrame:
     their partition and shifted by the counts of those before, so that no single task sorts everything."""
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col(by).desc_nulls_last(), F.col(tie)]
-    ranged = nodes.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
+    ranged = written(nodes.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranged")  # read twice: the ranges must be the same
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     return ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1).join(F.broadcast(before), "_part").withColumn("rank", F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")

@@ -38,7 +38,7 @@ def shortest_paths(compiler, given, op: dict) -> DataFrame:
     rows = written(given.df.withColumns({"§start": start, "§target": target}).withColumn("§row", F.monotonically_increasing_id()), "path-input")
     owners = {o for t in op["traversals"] for o in compiler.catalog.fact(t["factKind"]).roles.values()}
     owners |= {e["value"].split(":")[0] for e in (op["start"], op["target"]) if e["kind"] == "literal"}
-    owners |= {given.schema[e["name"]].type[7:] for e in (op["start"], op["target"]) if e["kind"] == "column" and given.schema[e["name"]].type.startswith("entity:")}
+    owners |= {v.type.partition(":")[2] for v in (given.value(op["start"]), given.value(op["target"])) if v.type.startswith(("entity:", "entity-ref:"))}
     refs = reduce(DataFrame.unionAll, [compiler.entities(o).select("ref") for o in sorted(owners)])
     ends = rows.select("§row", F.col("§start").alias("start"), F.col("§target").alias("target"))
     known = refs.select(F.col("ref").alias("start"), F.lit(True).alias("there"))
