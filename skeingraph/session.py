@@ -6,6 +6,8 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,7 +47,25 @@ def remove_written() -> None:
     _written.clear()
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors' Python this package, through Spark's own file server, once for each application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    top = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="skeingraph-code-")) / "skeingraph.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    context.addPyFile(str(archive))
+
+
 def bound_arrow_batches(spark: SparkSession, size: str = "4m", rows: int = 4096) -> None:
-    """Bound what one Python worker holds: Arrow batches by bytes and rows (session settings)."""
+    """Before Python runs on executors: bound what one worker holds (Arrow batches by bytes and rows, session settings) and ship the package."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
