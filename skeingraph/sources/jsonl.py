@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,21 +27,24 @@ SCHEMAS = {
 }
 
 
+def _has_other(keys: Column, schema: T.StructType) -> Column:
+    """True where an object has a key that the schema lacks."""
+    known = [f.name for f in schema.fields]
+    return F.exists(F.coalesce(keys, F.array().cast("array<string>")), lambda k: ~k.isin(known))
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Rows with ``_pos`` (order within the files); a malformed line or an unknown field is an error when the rows are used."""
     lines = spark.read.text(path).select("value", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("_pos"))
     lines = lines.where(F.trim("value") != "")
     parsed = F.from_json("value", schema, {"mode": "FAILFAST"})
-    bad = [F.exists(F.coalesce(F.json_object_keys("value"), F.array().cast("array<string>")), lambda k: ~k.isin([f.name for f in schema.fields]))]
+    bad = [_has_other(F.json_object_keys("value"), schema)]
     for f in schema.fields:
         if isinstance(f.dataType, T.StructType):
-            inner = F.get_json_object("value", f"$.{f.name}")
-            names = [x.name for x in f.dataType.fields]
-            bad.append(F.exists(F.coalesce(F.json_object_keys(inner), F.array().cast("array<string>")), lambda k, names=names: ~k.isin(names)))
+            bad.append(_has_other(F.json_object_keys(F.get_json_object("value", f"$.{f.name}")), f.dataType))
         if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType):
             inner = F.from_json(F.get_json_object("value", f"$.{f.name}"), "array<map<string,string>>")
-            names = [x.name for x in f.dataType.elementType.fields]
-            bad.append(F.exists(F.coalesce(F.flatten(F.transform(inner, lambda m: F.map_keys(m))), F.array().cast("array<string>")), lambda k, names=names: ~k.isin(names)))
+            bad.append(_has_other(F.flatten(F.transform(inner, lambda m: F.map_keys(m))), f.dataType.elementType))
     unknown = bad[0]
     for b in bad[1:]:
         unknown = unknown | b
