@@ -102,8 +102,9 @@ class Ledger:
         """Scan those of (blob, text) that are unseen under these rules and record them. ``findings`` is written first: a pair counts as scanned
         only once its findings are there, and findings that a broken run left are the same as those of its repetition."""
         bound_arrow_batches(self.spark)
-        unseen = blobs.join(self.scanned().select("blob"), "blob", "left_anti")
-        results = unseen.groupBy("blob").agg(F.first("text").alias("text")).mapInArrow(_scan, T.StructType([T.StructField("blob", T.BinaryType()), T.StructField("spans", _SPAN)]))
+        distinct = blobs.groupBy("blob").agg(F.first("text").alias("text"))  # copies meet here, one row a task each, before the ledger is asked
+        unseen = distinct.join(self.scanned().select("blob").distinct(), "blob", "left_anti")
+        results = unseen.mapInArrow(_scan, T.StructType([T.StructField("blob", T.BinaryType()), T.StructField("spans", _SPAN)]))
         batch = fresh_path(self.spark, "scan")
         results.withColumn("rules", F.lit(self.rules)).write.parquet(batch)
         results = self.spark.read.schema("blob binary, spans array<struct<kind:string,start:int,end:int>>, rules string").parquet(batch)
