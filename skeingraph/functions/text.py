@@ -67,10 +67,14 @@ def _folding() -> tuple[str, str, list[tuple[str, str]]]:
 
 def fold(col: Column) -> Column:
     """Trimmed and case folded for search."""
+    return F.trim(casefold(col))
+
+
+def casefold(col: Column) -> Column:
     one, to, many = _folding()
     low = F.translate(F.lower(col), one, to)
     full = F.when(low.rlike("[" + "".join(c for c, _ in many) + "]"), _chain(low, many)).otherwise(low)
-    return F.trim(F.when(col.rlike(r"[^\x00-\x7f]"), full).otherwise(F.lower(col)))
+    return F.when(col.rlike(r"[^\x00-\x7f]"), full).otherwise(F.lower(col))
 
 
 def _chain(col: Column, many: list[tuple[str, str]]) -> Column:
@@ -99,14 +103,21 @@ def snippet(source: Column, start: Column, end: Column) -> Column:
 
 
 def match_range(source: Column, query: str) -> Column:
-    """Byte range [start, end) in ``source`` of the first hit of the folded query; null if there is none or folding changed lengths before it."""
+    """Byte range [start, end) in ``source`` of the first hit of the folded query; null if there is none, or if it begins or ends inside the folding of one character."""
     needle = fold_literal(query)
-    lead = F.length(source) - F.length(F.ltrim(source))
-    at = F.instr(fold(source), needle) - 1
-    start, end = at + lead, at + lead + len(needle)
-    same = fold(F.substring(source, start + 1, F.lit(len(needle)))) == needle
+    at = F.instr(casefold(source), needle) - 1
+    start, end = _source_place(source, at), _source_place(source, at + len(needle))
+    same = casefold(F.substring(source, start + 1, end - start)) == needle
     bytes_to = lambda k: F.octet_length(F.substring(source, F.lit(1), k))
-    return F.when((at >= 0) & same, F.struct(bytes_to(start).cast("long").alias("start"), bytes_to(end).cast("long").alias("end")))
+    return F.when(F.when(at >= 0, same).otherwise(F.lit(False)), F.struct(bytes_to(start).cast("long").alias("start"), bytes_to(end).cast("long").alias("end")))
+
+
+def _source_place(source: Column, at: Column, steps: int = 16) -> Column:
+    """How many source characters fold to the first ``at`` folded ones. Folding lengthens a text by what the characters before the place add, so the
+    place is a fixed point; each step brackets it closer. Texts of equal length need no step."""
+    longer = lambda k: F.length(casefold(F.substring(source, F.lit(1), k))) - k
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), at.cast("int"), lambda k, _: F.when(longer(k) == at - k, k).otherwise((at - longer(k)).cast("int")).cast("int"))
+    return F.when(F.length(casefold(source)) == F.length(source), at).otherwise(found)
 
 
 def grams(col: Column, width: int) -> Column:

@@ -177,20 +177,20 @@ asked("candidate_scan", lambda: values(["who"], [["order:5"], ["order:2"], ["ord
 # search --------------------------------------------------------------------------------------------------------------
 
 asked("lookup_name", lambda: lookup("part", "p", " GEAR ").project(part="$p", name="$p.name"), "SELECT concat('part:', p_partkey) AS part, p_name AS name FROM part WHERE contains(lower(p_name), 'gear')")
-asked("fulltext_document", lambda: full_text("document", "d", "Password", "text").project(document="$d", lang="$d.lang"), "SELECT concat('document:', doc_id) AS document, lang FROM documents WHERE contains(lower(text), 'password')")
+asked("fulltext_document", lambda: full_text("document", "d", "Is Licensed", "text").project(document="$d", lang="$d.lang"), "SELECT concat('document:', doc_id) AS document, lang FROM documents WHERE contains(lower(text), 'is licensed')")
 asked("fulltext_page", lambda: full_text("page", "p", "<p>", "html").project(page="$p", url="$p.url"), "SELECT concat('page:', page_id) AS page, url FROM pages WHERE contains(lower(html), '<p>') OR contains(lower(html), '&lt;p&gt;')")
 asked("text_and_lookup", lambda: lookup("part", "p", "small").project(part="$p").exists(lookup("part", "q", "gear").project(part="$q"), part="part"), "SELECT concat('part:', p_partkey) AS part FROM part WHERE contains(lower(p_name), 'small') AND contains(lower(p_name), 'gear')")
 
 
-@query("fulltext_match_range", "SELECT doc_id, strlen(text[1:strpos(lower(text), 'secret') - 1]) AS start, strlen(text[1:strpos(lower(text), 'secret') - 1]) + 6 AS stop FROM documents WHERE contains(lower(text), 'secret')")
+@query("fulltext_match_range", "SELECT doc_id, strlen(text[1:strpos(lower(text), 'license') - 1]) AS start, strlen(text[1:strpos(lower(text), 'license') - 1]) + 7 AS stop FROM documents WHERE contains(lower(text), 'license')")
 def fulltext_match_range(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").withColumn("r", tx.match_range(F.col("text"), "secret")).where("r is not null")
+    docs = table(spark, folder, "documents").withColumn("r", tx.match_range(F.col("text"), "license")).where("r is not null")
     return docs.select("doc_id", F.col("r.start").alias("start"), F.col("r.end").alias("stop"))
 
 
 @query("fulltext_snippet")
 def fulltext_snippet(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").withColumn("r", tx.match_range(F.col("text"), "secret")).where("r is not null")
+    docs = table(spark, folder, "documents").withColumn("r", tx.match_range(F.col("text"), "license")).where("r is not null")
     return docs.select("doc_id", tx.snippet(F.col("text"), F.col("r.start"), F.col("r.end")).alias("snippet"))
 
 
