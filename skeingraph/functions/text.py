@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -43,11 +44,22 @@ def _decoded(piece: Column) -> Column:
 
 def display_text(col: Column) -> Column:
     """References decoded, at most three passes; null becomes empty. Not idempotent: apply once."""
-    out = F.coalesce(col, F.lit(""))
-    for _ in range(DECODE_PASSES):
-        pieces = F.regexp_extract_all(out, F.lit(f"({_REFERENCE}|[^&]+|&)"), F.lit(1))
-        out = F.when(F.contains(out, F.lit("&")) & F.contains(out, F.lit(";")), F.array_join(F.transform(pieces, _decoded), "")).otherwise(out)
-    return out
+
+    def one_pass(x: Column) -> Column:
+        return F.array_join(F.transform(F.regexp_extract_all(x, F.lit(f"({_REFERENCE}|[^&]+|&)"), F.lit(1)), _decoded), "")
+
+    def decoded(x: Column) -> Column:
+        out = x
+        for _ in range(DECODE_PASSES):  # a pass over a text without references returns it
+            out = one_pass(out)
+        return F.when(F.contains(x, F.lit("&")) & F.contains(x, F.lit(";")), out).otherwise(x)
+
+    return _let(F.coalesce(col, F.lit("")), decoded)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it; expressions that nest would else grow as a power."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 @lru_cache(1)
@@ -72,9 +84,12 @@ def fold(col: Column) -> Column:
 
 def casefold(col: Column) -> Column:
     one, to, many = _folding()
-    low = F.translate(F.lower(col), one, to)
-    full = F.when(low.rlike("[" + "".join(c for c, _ in many) + "]"), _chain(low, many)).otherwise(low)
-    return F.when(col.rlike(r"[^\x00-\x7f]"), full).otherwise(F.lower(col))
+    several = "[" + "".join(c for c, _ in many) + "]"
+
+    def full(x: Column) -> Column:
+        return _let(F.translate(F.lower(x), one, to), lambda low: F.when(low.rlike(several), _chain(low, many)).otherwise(low))
+
+    return _let(col, lambda x: F.when(x.rlike(r"[^\x00-\x7f]"), full(x)).otherwise(F.lower(x)))
 
 
 def _chain(col: Column, many: list[tuple[str, str]]) -> Column:
