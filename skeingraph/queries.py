@@ -246,10 +246,10 @@ def path_hops(spark: SparkSession, folder: str) -> DataFrame:
     return df.select("customer", F.element_at("path.nodes", -1).alias("region"), "path.cost", F.array_join("path.nodes", ">").alias("nodes"))
 
 
-@query("path_shortest", "WITH e AS (SELECT DISTINCT concat('supplier:', s_suppkey) AS a, concat('nation:', s_nationkey) AS b FROM supplier UNION SELECT DISTINCT concat('nation:', s_nationkey), concat('supplier:', s_suppkey) FROM supplier) SELECT y.b AS target, 2 AS cost, concat(x.a, '>', x.b, '>', y.b) AS nodes FROM e x JOIN e y ON x.b = y.a WHERE x.a = 'supplier:10' AND y.b <> x.a AND starts_with(y.b, 'supplier:') UNION ALL SELECT 'supplier:10', 0, 'supplier:10' FROM supplier WHERE s_suppkey = 10")
+@query("path_shortest", "WITH e AS (SELECT DISTINCT concat('supplier:', s_suppkey) AS a, concat('nation:', s_nationkey) AS b FROM supplier UNION SELECT DISTINCT concat('nation:', s_nationkey), concat('supplier:', s_suppkey) FROM supplier) SELECT y.b AS target, 2 AS cost, concat(x.a, '>', x.b, '>', y.b) AS nodes FROM e x JOIN e y ON x.b = y.a WHERE x.a = 'supplier:5' AND y.b <> x.a AND starts_with(y.b, 'supplier:') UNION ALL SELECT 'supplier:5', 0, 'supplier:5' FROM supplier WHERE s_suppkey = 5")
 def path_shortest(spark: SparkSession, folder: str) -> DataFrame:
     both = [("BASED", [("supplier", "nation"), ("nation", "supplier")])]
-    q = scan("supplier", "s").path({"kind": "literal", "value": "supplier:10"}, "$s", "path", both, max_hops=2, max_paths=5).project(target="$s", path="$path")
+    q = scan("supplier", "s").path({"kind": "literal", "value": "supplier:5"}, "$s", "path", both, max_hops=2, max_paths=5).project(target="$s", path="$path")
     df = plain(run(spark, folder, CATALOG, q.document()).df)
     return df.select("target", "path.cost", F.array_join("path.nodes", ">").alias("nodes"))
 
