@@ -157,3 +157,13 @@ def hydrated(df: DataFrame, column: str, compiler: Compiler, fields: dict[str, l
         more = compiler.entities(owner).select(F.col("ref").alias("§ref"), *[F.col(n).alias(f"{owner}_{n}") for n in names])
         df = df.join(more, named(column) == F.col("§ref"), "left").drop("§ref")
     return df
+
+
+def wire_rows(result: Result) -> list[dict]:
+    """Rows as JSON values: MISSING is tagged, so that it stays apart from null."""
+    names = [c["name"] for c in result.columns]
+    out = []
+    for row in result.df.collect():
+        plain = row.asDict(recursive=True)
+        out.append({n: {"$skein": "missing"} if plain.get(missing_bit(n)) else plain[n] for n in names})
+    return out
