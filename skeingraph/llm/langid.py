@@ -123,8 +123,8 @@ def fit(rows: DataFrame, settings: Settings = Settings()) -> Model:
     frequency[inside.bucket.to_numpy()] = inside.n.to_numpy()
     n = float(counted[counted.bucket < 0].n.sum())
     idf = np.log((1 + n) / (1 + frequency)) + 1
-    frequent = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.classes).collect()]
-    sample = _sample(known, sorted(frequent), settings)
+    frequent = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.classes).collect()}
+    sample = _sample(known, frequent, settings)
     languages = sorted(sample["lang"].unique()) if len(sample) else []
     model = Model(languages, idf.astype(np.float32), np.zeros((settings.buckets, len(languages)), np.float32), np.zeros(len(languages), np.float32), 1.0, settings)
     if not languages:
@@ -138,16 +138,22 @@ def fit(rows: DataFrame, settings: Settings = Settings()) -> Model:
     return model
 
 
-def _sample(known: DataFrame, languages: list[str], settings: Settings) -> pd.DataFrame:
-    """The rows of each language with the smallest hashes; the per-partition bound keeps a hot language from meeting in one task."""
-    key = F.xxhash64("doc_id", "text")
-    tops = [known.where(F.col("lang") == x).select("lang", F.substring("text", 1, settings.sample_chars).alias("text"), key.alias("key")).orderBy("key").limit(settings.per_class) for x in languages]
-    if not tops:
+def _sample(known: DataFrame, counts: dict[str, int], settings: Settings) -> pd.DataFrame:
+    """The rows of each language with the smallest hashes, in one scan: rows below the hash that some twice the wanted number lies under are
+    collected (bounded by the settings), then cut to ``per_class``."""
+    if not counts:
         return pd.DataFrame({"lang": [], "text": [], "key": []})
-    union = tops[0]
-    for x in tops[1:]:
-        union = union.unionAll(x)
-    return union.toPandas().sort_values(["key", "text"], ignore_index=True)
+    key = F.xxhash64("doc_id", "text")
+    # twice the number and some more, so that falling short by chance is out of the question
+    share = {x: min(1.0, (2 * settings.per_class + 100) / n) for x, n in counts.items()}
+    below = F.lit(None).cast("long")
+    for x, part in share.items():
+        below = F.when(F.col("lang") == x, F.lit(int((1 << 62) * part))).otherwise(below)
+    near = F.shiftrightunsigned(key, 2) < below
+    rows = known.withColumn("_all", F.col("lang").isin([x for x, p in share.items() if p == 1.0])).where(F.col("_all") | near)
+    frame = rows.select("lang", F.substring("text", 1, settings.sample_chars).alias("text"), key.alias("key")).toPandas()
+    frame = frame.assign(order=frame["key"].astype("int64").to_numpy().view("uint64")).sort_values(["order", "text"], ignore_index=True)
+    return frame.groupby("lang", sort=False).head(settings.per_class).reset_index(drop=True)
 
 
 def _follow_the_leader(model: Model, vectors: list, labels: np.ndarray) -> None:
