@@ -1,15 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment scores them.
 
-Words are runs of letters, digits and non-ASCII bytes, ASCII case folded. A first pass counts, over all documents, every
-``width``-word n-gram of the benchmark. Of each ``stratum`` consecutive n-grams of an item the ``rarest`` least frequent
-ones are its seeds, so that every part of an item has some however common it is. The second pass joins seeds to documents,
-opens a window around each seed's diagonal, and aligns the item with it: local alignment over words, match +2,
-mismatch and gap -1. A passage is reported when its score reaches that of ``share`` of the item's words, or of
-``long_match`` words of a long item.
+Words are runs of letters, digits and non-ASCII bytes, ASCII case folded. Every ``width``-word n-gram of an item is a
+seed, however common: in an edited copy any of them may be the only one left. One pass joins seeds to documents, opens
+a window around each seed's diagonal, and aligns the item with it: local alignment over words, match +2, mismatch and
+gap -1. A passage is reported when its score reaches that of ``share`` of the item's words, or of ``long_match`` words
+of a long item. A window with too few of the item's words to reach that, all of them matching, is not aligned; no other
+window is left out. So a passage is missed only if it shares no ``width`` consecutive words with the item. The work grows
+with the windows: common n-grams shared by many items and documents cost time, never passages.
 
 Documents are never shuffled: each worker holds one block of the benchmark (at most ``block_bytes`` of text, a checked
-bound), and a benchmark of more blocks is met block by block. Windows are whole; a document with many is aligned in
-batches of bounded memory.
+bound), and a benchmark of more blocks is met block by block. Windows are whole; a document with many hits or windows is
+met in batches of bounded memory.
 
 Defined cases: a null or empty text has no passage; an item of fewer than ``least_words`` words is no evidence and is
 never reported; items with equal texts are reported each; rows that repeat are reported each; an empty benchmark or
@@ -37,8 +38,6 @@ _STEP = np.array([pow(0xA0761D6478BD642F, k + 1, 1 << 64) for k in range(16)], n
 @dataclass(frozen=True)
 class Settings:
     width: int = 3
-    stratum: int = 4
-    rarest: int = 2
     least_words: int = 5
     share: float = 0.5
     long_match: int = 40
@@ -46,6 +45,7 @@ class Settings:
     block_bytes: int = 8 << 20
     together: int = 1 << 20  # bytes of text that are hashed at once
     cells: int = 1 << 21  # cells of a row of alignments that are computed at once
+    hits: int = 1 << 20  # hits of seeds that are gathered at once
 
 
 def _words(texts: list[bytes]) -> Words:
@@ -117,56 +117,45 @@ class Matcher:
         at, hashes = _grams(words, settings.width)
         item = words.doc[at]
         kept = words.counts[item] >= settings.least_words
-        self.item, self.offset, self.hash = item[kept], at[kept] - words.first[item[kept]], hashes[kept]
-        self.grams = Grams(self.hash)
-
-    def counts(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(self.grams.values), np.int64)
-        for batch in batches:
-            texts = encoded(batch.column(0))
-            for a, b in runs([len(t) for t in texts], self.settings.together):
-                _, which = self.grams.find(_grams(_words(texts[a:b]), self.settings.width)[1])
-                total += np.bincount(which, minlength=len(total))
-        found = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], names=["gram", "n"])
-
-    def choose(self, frequency: np.ndarray) -> None:
-        """Keep each stratum's rarest n-grams as seeds."""
-        s = self.settings
-        own = frequency[np.searchsorted(self.grams.values, self.hash)] if len(self.hash) else np.zeros(0, np.int64)
-        part = self.offset // s.stratum
-        order = np.lexsort((self.offset, own, part, self.item))
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = (self.item[order][1:] != self.item[order][:-1]) | (part[order][1:] != part[order][:-1])
-        rank = np.arange(len(order)) - np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
-        kept = order[rank < s.rarest]
-        kept = kept[np.argsort(self.hash[kept], kind="stable")]
-        self.item, self.offset, self.hash = self.item[kept], self.offset[kept], self.hash[kept]
+        at, hashes, item = at[kept], hashes[kept], item[kept]
+        order = np.argsort(hashes, kind="stable")
+        self.item, self.offset, self.hash = item[order], (at - words.first[item])[order], hashes[order]
         self.grams = Grams(self.hash)
         self.begin = np.searchsorted(self.hash, self.grams.values, side="left")
         self.size = np.searchsorted(self.hash, self.grams.values, side="right") - self.begin
+        self.lengths = np.array([len(x) for x in self.items], np.int64)
+        self.pad = (self.lengths * settings.margin).astype(np.int64) + 4
+        self.step = np.maximum(self.pad, 8)
+
+    def windows(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, item, cell) of every window around a seed; windows whose diagonals differ little are one."""
+        at, hashes = _grams(words, self.settings.width)
+        near, which = self.grams.find(hashes)
+        size = self.size[which]
+        # every seed of an n-gram that was hit, at most ``hits`` and one n-gram's seeds at once
+        turn = np.cumsum(size) // self.settings.hits
+        cells = int(len(words.hashes) + self.lengths.max(initial=0)) // 4 + 1
+        keys = [np.zeros(0, np.int64)]
+        for own in np.split(np.arange(len(near)), np.flatnonzero(np.diff(turn)) + 1):
+            n = size[own]
+            flat = np.repeat(self.begin[which[own]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            position, item = np.repeat(at[near[own]], n), self.item[flat]
+            doc = words.doc[position]
+            diagonal = position - self.offset[flat] - words.first[doc] + self.lengths[item]
+            keys.append(np.unique((doc.astype(np.int64) * len(self.items) + item) * cells + diagonal // self.step[item]))
+        key = np.unique(np.concatenate(keys))
+        return key // cells // len(self.items), key // cells % len(self.items), key % cells
 
     def passages(self, texts: list[bytes]) -> list[tuple[int, int, int, float, int, int]]:
         """(text, item, score, share of the item's best score, start byte, end byte) of each text and item that match, the best passage of each."""
         s = self.settings
         words = _words(texts)
-        at, hashes = _grams(words, s.width)
-        near, which = self.grams.find(hashes)
-        if not len(near):
+        if not len(self.hash):
             return []
-        # every seed of an n-gram that was hit
-        size = self.size[which]
-        flat = np.repeat(self.begin[which] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-        position, item, offset = np.repeat(at[near], size), self.item[flat], self.offset[flat]
-        doc = words.doc[position]
-        lengths = np.array([len(x) for x in self.items])
-        pad = (lengths[item] * s.margin).astype(np.int64) + 4
-        step = np.maximum(pad, 8)
-        # windows whose diagonals differ little are one
-        diagonal = position - offset - words.first[doc] + lengths[item]
-        cell = diagonal // step
-        _, pick = np.unique(np.stack([doc, item, cell]), axis=1, return_index=True)
-        doc, item, cell, step, pad = doc[pick], item[pick], cell[pick], step[pick], pad[pick]
+        doc, item, cell = self.windows(words)
+        if not len(doc):
+            return []
+        lengths, step, pad = self.lengths, self.step[item], self.pad[item]
         low = np.maximum(words.first[doc] + cell * step - lengths[item] - pad, words.first[doc])
         high = np.minimum(words.first[doc] + (cell + 1) * step + pad, words.first[doc + 1])
         found: dict[tuple[int, int], tuple[int, int, int]] = {}
@@ -179,7 +168,9 @@ class Matcher:
                 index = low[part][:, None] + np.arange(wide)[None, :]
                 inside = index < high[part][:, None]
                 windows = np.where(inside, words.hashes[np.minimum(index, len(words.hashes) - 1)], np.uint64(0))
-                score, end = align(target, windows)
+                able = 2 * np.isin(windows, target).sum(axis=1) >= least  # no alignment scores more than this
+                part = part[able]
+                score, end = align(target, windows[able])
                 for k in np.flatnonzero(score >= least):
                     key = (int(doc[part[k]]), int(item[part[k]]))
                     if int(score[k]) > found.get(key, (0,))[0]:
@@ -194,7 +185,7 @@ class Matcher:
 
 
 def matchers(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> Iterator[Matcher]:
-    """A matcher for each block of the benchmark, its seeds chosen by counts over all of ``docs``."""
+    """A matcher for each block of the benchmark."""
     bound_arrow_batches(docs.sparkSession)
     items = benchmark.where(F.col("text").isNotNull()).select("item_id", "text")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -202,13 +193,7 @@ def matchers(docs: DataFrame, benchmark: DataFrame, settings: Settings = Setting
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else items
         frame = own.toPandas().sort_values(["item_id", "text"])  # bounded by block_bytes
-        matcher = Matcher(frame["item_id"].tolist(), [t.encode("utf-8", "replace") for t in frame["text"]], settings)
-        shared = docs.sparkSession.sparkContext.broadcast(matcher)
-        rows = docs.select("text").mapInArrow(lambda b, m=shared: m.value.counts(b), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()  # one row for each n-gram of the block
-        frequency = np.zeros(len(matcher.grams.values), np.int64)
-        frequency[rows["gram"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
-        matcher.choose(frequency)
-        yield matcher
+        yield Matcher(frame["item_id"].tolist(), [t.encode("utf-8", "replace") for t in frame["text"]], settings)
 
 
 def _points(text: bytes, at: int) -> int:

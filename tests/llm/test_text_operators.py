@@ -173,6 +173,41 @@ def test_passages(spark):
     assert decontaminate.passages(docs, bench.limit(0)).count() == 0 and decontaminate.passages(docs.limit(0), bench).count() == 0
 
 
+def smith_waterman(item, words):
+    above, best = [0] * (len(words) + 1), 0
+    for a in item:
+        row = [0]
+        for j, b in enumerate(words):
+            row.append(max(0, above[j] + (2 if a == b else -1), above[j + 1] - 1, row[j] - 1))
+        above, best = row, max(best, *row)
+    return best
+
+
+def test_spread_edits_against_brute_force(spark):
+    """Copies with every n-th word replaced, alone or beside verbatim copies, and with only common n-grams left."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefghijklm") for _ in range(r.randrange(3, 8)))
+    noise = lambda n: [word() for _ in range(n)]
+    items = [noise(r.randrange(16, 60)) for _ in range(12)]
+    texts = []
+    for k, item in enumerate(items):
+        for every in (4, 5, 7):
+            shift = r.randrange(every)
+            copy = [word() if j % every == shift else w for j, w in enumerate(item)]
+            texts.append(noise(30) + copy + noise(30))
+        if k % 3 == 0:
+            texts += [noise(20) + item + noise(20)] * 2
+        if k % 3 == 1:
+            texts += [noise(5) + item[j : j + 3] + noise(5) for j in range(0, len(item) - 3) if r.random() < 0.8]
+    expected = {(d, k) for d, t in enumerate(texts) for k, x in enumerate(items) if smith_waterman(x, t) >= 2 * min(0.5 * len(x), 40)}
+    assert len(expected) >= 3 * len(items)
+    docs = docs_of(spark, [" ".join(t) for t in texts])
+    bench = spark.createDataFrame([(k, " ".join(t), 0) for k, t in enumerate(items)], "item_id long, text string, score int")
+    for settings in (decontaminate.Settings(), decontaminate.Settings(hits=3, cells=500)):
+        assert {(x["doc_id"], x["item_id"]) for x in decontaminate.passages(docs, bench, settings).collect()} == expected
+    assert decontaminate.clean(docs, bench).count() == len(texts) - len({d for d, _ in expected})
+
+
 def test_alignment_against_brute_force():
     r = np.random.default_rng(1)
     for _ in range(20):
