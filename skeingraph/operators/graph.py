@@ -62,7 +62,7 @@ def supergraph(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def skeleton(edges: DataFrame, heat: DataFrame, target: int = 500_000) -> DataFrame:
-    """src, dst, weight: every node's best edge, then the best of the rest up to ``target``. Weight (ca + cb) / sqrt(da db); heat: node, heat."""
+    """src, dst, weight: every node's best edge, even beyond ``target``, then the best of the rest up to it. Weight (ca + cb) / sqrt(da db); heat: node, heat."""
     pairs = written(undirected(edges), "pairs")
     deg = degree(pairs)
     of = lambda end, tag: heat.join(deg, "node").select(F.col("node").alias(end), F.col("heat").alias(f"c{tag}"), F.col("degree").alias(f"d{tag}"))
@@ -70,8 +70,10 @@ def skeleton(edges: DataFrame, heat: DataFrame, target: int = 500_000) -> DataFr
     weighed = written(weighed, "weighed")
     ends = weighed.select("src", "dst", "weight", F.explode(F.array("src", "dst")).alias("node"))
     best = ends.groupBy("node").agg(F.min(F.struct((-F.col("weight")).alias("w"), "src", "dst")).alias("b")).select("b.src", "b.dst").distinct()
-    marked = weighed.join(best.withColumn("first", F.lit(1)), ["src", "dst"], "left")
-    return marked.orderBy(F.col("first").desc_nulls_last(), F.desc("weight"), "src", "dst").limit(target).select("src", "dst", "weight")
+    marked = written(weighed.join(best.withColumn("first", F.lit(1)), ["src", "dst"], "left"), "marked")
+    covering = marked.where("first = 1")
+    fill = marked.where("first is null").orderBy(F.desc("weight"), "src", "dst").limit(max(0, target - covering.count()))
+    return covering.unionAll(fill).orderBy(F.col("first").desc_nulls_last(), F.desc("weight"), "src", "dst").select("src", "dst", "weight")
 
 
 def centroids(nodes: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Sources, ingest, graph metrics, text and scalar functions on small fixtures."""
 
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -140,6 +141,19 @@ def test_graph(spark):
     assert graph.communities(edges).select("node").distinct().count() == 6
 
 
+def test_skeleton_covers_every_node_beyond_its_target(spark):
+    edges = spark.createDataFrame([(a, b) for a in range(12) for b in range(12, 18)], "src long, dst long")
+    heat = spark.createDataFrame([(k, float(k)) for k in range(18)], "node long, heat double")
+    pairs = sorted(((a + b) / math.sqrt(6 * 12), a, b) for a in range(12) for b in range(12, 18))
+    best = {max((p for p in pairs if node in p[1:]), key=lambda p: p[0])[1:] for node in range(18)}
+    rest = [p[1:] for p in reversed(pairs) if p[1:] not in best]
+    got = lambda target: {(r["src"], r["dst"]) for r in graph.skeleton(edges, heat, target).collect()}
+    assert got(3) == got(len(best)) == best and {n for pair in best for n in pair} == set(range(18))
+    more = got(len(best) + 1) - best
+    assert len(more) == 1 and sum(more.pop()) == sum(rest[0])
+    assert len(got(1000)) == len(pairs)
+
+
 def test_facts(spark):
     rows = spark.createDataFrame([("a:1", "b:1", "x"), ("a:1", "b:1", "x"), ("a:1", None, "y"), ("a:2", "a:2", "x")], "p string, q string, t string")
     facts = canonical(rows, ["p", "q"], ["t"])
