@@ -1,8 +1,10 @@
 """Near-duplicates: ProbMinHash sketches, banding, exact verification, and classes of linked documents.
 
 Two different texts are linked when the Jaccard similarity of their five-word shingle sets is 0.8 or more; candidates
-share one of the bands of their ProbMinHash sketches (weights 1 + ln of a shingle's count; at similarity 0.8 a pair is
-missed with probability below 1e-6, at 0.75 of the weighted similarity below 1e-4). A class is a connected component of links; equal texts are always of one class.
+share one of the bands of their ProbMinHash sketches, of which a text has two: one with weights 1 + ln of a shingle's
+count, and one with all weights 1. The registers of the latter agree with the Jaccard similarity of the sets itself, so
+that 36 bands of 5 miss a pair of similarity 0.8 with probability (1 - 0.8 ** 5) ** 36 = 6.3e-7, however often its
+shingles repeat. A class is a connected component of links; equal texts are always of one class.
 
 Equal texts are one node, found by partial aggregates. The nodes of a bucket (a band's key) are never paired with one
 another wholesale. In each round one node of each bucket, the hub, is compared with those of the bucket that are of
@@ -40,7 +42,7 @@ from skeingraph.sources.tables import table
 class Settings:
     width: int = 5  # words of a shingle
     similarity: tuple[int, int] = (4, 5)  # least Jaccard similarity, as a fraction
-    bands: int = 36
+    bands: int = 36  # of each sketch
     rows: int = 5
     rounds: int = 4
     block: int = 512

@@ -65,10 +65,17 @@ def bands(registers: np.ndarray, rows: int) -> np.ndarray:
     return mix((parts * _STEP[:rows]).sum(axis=2, dtype=U64) + np.arange(1, n + 1).astype(U64) * _GOLD)
 
 
-def document_bands(texts: list[bytes], width: int, m: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct shingles of each text, band keys)."""
+def document_bands(texts: list[bytes], width: int, m: int, rows: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(distinct shingles of each text, its distinct band keys): bands of the weighted shingles and of the same ones with
+    all weights 1, which are the same bands for a text that repeats none."""
     doc, hashes, weights = weighted(*shingles(Words(texts), width))
-    return np.bincount(doc, minlength=len(texts)), bands(sketch(doc, hashes, weights, len(texts), m), rows)
+    keys = list(bands(sketch(doc, hashes, weights, len(texts), m), rows))
+    repeats = np.unique(doc[weights > 1])
+    own = np.isin(doc, repeats)
+    plain = sketch(np.searchsorted(repeats, doc[own]), hashes[own], np.ones(int(own.sum())), len(repeats), m)
+    for d, more in zip(repeats, bands(plain, rows)):
+        keys[d] = np.unique(np.concatenate([keys[d], more]))
+    return np.bincount(doc, minlength=len(texts)), keys
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:

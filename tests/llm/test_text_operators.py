@@ -119,6 +119,20 @@ def test_classes_against_brute_force(spark, settings):
     assert [got[k] for k in range(len(texts))] == brute_classes(texts)
 
 
+def test_repeated_lines_cost_no_links(spark):
+    """Near copies of set similarity 0.8 or more in which a line stands once and a thousand times."""
+    r = random.Random(8)
+    texts = []
+    for k in range(40):
+        head, line = (["w%d" % r.randrange(10**6) for _ in range(n)] for n in (44, 20))
+        tail = ["w%d" % r.randrange(10**6) for _ in range(k % 2 * 8)]
+        texts += [" ".join(head + line + line[:4]), " ".join(head + line * 1000 + tail)]  # every shingle of the line once
+    expected = brute_classes(texts)
+    assert expected == [k // 2 * 2 for k in range(len(texts))]
+    got = {x["doc_id"]: x["class_id"] for x in neardup.near_duplicates(docs_of(spark, texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == expected
+
+
 def test_deduplicated_keeps_one_of_each(spark):
     texts = copies(groups=2, size=10)
     docs = docs_of(spark, texts)
