@@ -12,12 +12,16 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
+_scratch: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one only where it is unset."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``). Where it is unset, a session in one process gets a temporary one, as in tests; on
+    a cluster that is an error, as executors would each write to their own disk."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="skeingraph-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -32,18 +36,39 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and reread it: lineage ends there and lost executors cost no recomputation."""
+def written(df: DataFrame, name: str = "table", keep: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and reread it: lineage ends there and lost executors cost no recomputation. Inside ``scratch`` the table goes
+    with it, unless it is to be kept."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
+    if _scratch and not keep:
+        _scratch[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch():
+    """Tables that are written inside, and not kept, are removed at its end. What leaves it must read none of them."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        paths = set(_scratch.pop())
+        own = [(s, p) for s, p in _written if p in paths]
+        for spark, path in own:
+            _remove(spark, path)
+        _written[:] = [x for x in _written if x[1] not in paths]
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def remove_written() -> None:
     for spark, path in _written:
-        with contextlib.suppress(Exception):
-            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
-            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+        _remove(spark, path)
     _written.clear()
 
 
