@@ -6,6 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 U64 = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -39,6 +42,17 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def others(df: DataFrame, *names: str) -> list[T.StructField]:
+    """The columns of ``df`` but for those of these names, the case of letters aside, as Spark tells names apart."""
+    taken = {n.lower() for n in names}
+    return [x for x in df.schema.fields if x.name.lower() not in taken]
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, which no name of an operator's own can clash with."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
+
+
 def encoded(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null counts as empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
