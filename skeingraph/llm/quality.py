@@ -5,12 +5,15 @@ half a chunk apart, cover it whole; each filter's response is max-pooled within
 responses of a chunk, its units are max-pooled over all chunks, and a logistic layer makes one probability. A filter is a
 table of one weight for each place and byte value, so a convolution is a sum of table rows.
 
-The network is fitted on the driver, by Adam, on a bounded sample of labelled rows, of which the first ``sample_bytes``
-serve; scoring reads whole texts, in blocks of bounded memory.
-
-Defined cases: a null or empty text is one chunk of padding; without labelled rows of both kinds every score is the share
-of good ones (0.5 without any); repeated rows score alike; an empty table gives an empty result; further columns are
-carried by ``scored``.
+The network is fitted on the driver, by Adam, on a bounded sample of labelled rows. Training reads whole texts as scoring
+does: a text's forward pass covers all its chunks, and the gradient flows through the chunks that its hidden units'
+maxima come from. Either works in blocks of bounded memory. What a last half chunk lacks is filled with the text's own
+bytes from the start, so that no filling is learned as a sign of either label.
+
+Defined cases: a null or empty text is one chunk of zero bytes; without labelled rows of both kinds every score is the
+share of good ones (0.5 without any); an id that is labelled both ways is poor, repeated rows score alike; an empty table
+gives an empty result; further columns are carried by ``scored``, but for one that is named quality_score in any case of
+letters, which is replaced.
 """
 
 from __future__ import annotations
@@ -25,16 +28,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skeingraph.llm.labelled import fold, sample
-from skeingraph.llm.textbuf import encoded
+from skeingraph.llm.textbuf import encoded, others
 from skeingraph.session import bound_arrow_batches
 from skeingraph.sources.tables import table
 
 
 @dataclass(frozen=True)
 class Settings:
-    good_rows: int = 600  # labelled rows that the network learns from
+    good_rows: int = 600  # labelled rows that the network learns from, whole texts
     poor_rows: int = 600
-    sample_bytes: int = 1920  # of a row of that sample only
     width: int = 4
     filters: int = 16
     hidden: int = 12
@@ -62,10 +64,10 @@ class Network:
         self.trained = False
 
     def padded(self, text: bytes) -> np.ndarray:
-        """Bytes for a whole number of half chunks, two at least, and the filters' overhang."""
+        """Bytes for a whole number of half chunks, two at least, and the filters' overhang; the text goes round."""
         half = self.s.chunk // 2
         n = max(2, -(-len(text) // half)) * half + self.s.width - 1
-        return np.frombuffer(text.ljust(n, b"\0"), np.uint8)
+        return np.resize(np.frombuffer(text or b"\0", np.uint8), n)
 
     def halves(self, data: np.ndarray) -> np.ndarray:
         """Each filter's largest response in each half chunk."""
@@ -80,63 +82,57 @@ class Network:
             out[a // half : b // half] = total.reshape(-1, half, self.s.filters).max(axis=1)
         return out
 
+    def units(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of padded bytes: the hidden units' maxima over all chunks before rectification, and which chunk each comes from."""
+        pooled = self.halves(data)
+        chunks = np.maximum(np.maximum(pooled[:-1], pooled[1:]) + self.p["bias"], 0)
+        hidden = chunks @ self.p["mix"] + self.p["shift"]
+        best = hidden.argmax(axis=0)
+        return hidden[best, np.arange(self.s.hidden)], best
+
     def score(self, text: bytes) -> float:
+        z = float(self.p["base"][0])
         if self.trained:
-            pooled = self.halves(self.padded(text))
-            chunks = np.maximum(np.maximum(pooled[:-1], pooled[1:]) + self.p["bias"], 0)
-            units = np.maximum(chunks @ self.p["mix"] + self.p["shift"], 0).max(axis=0)
-            z = float(units @ self.p["out"] + self.p["base"][0])
-        else:
-            z = float(self.p["base"][0])
+            z += float(np.maximum(self.units(self.padded(text))[0], 0) @ self.p["out"])
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
-    def _gradients(self, data: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        """data: rows x (positions + width - 1)."""
-        s, p, half = self.s, self.p, self.s.chunk // 2
-        rows, n = len(data), data.shape[1] - s.width + 1
-        total = p["table"][0][data[:, :n]]
+    def _gradients(self, texts: list[np.ndarray], y: np.ndarray) -> dict[str, np.ndarray]:
+        """texts: padded bytes of each row."""
+        s, p, rows = self.s, self.p, len(texts)
+        top, best = (np.array(x) for x in zip(*map(self.units, texts)))  # rows x hidden
+        # the chunk that each unit of each row took its maximum from: rows x hidden x bytes
+        half, wide = s.chunk // 2, s.chunk // 2 * 2 + s.width - 1
+        data = np.array([[t[b * half : b * half + wide] for b in own] for t, own in zip(texts, best)])
+        n = wide - s.width + 1
+        total = p["table"][0][data[:, :, :n]]
         for k in range(1, s.width):
-            total += p["table"][k][data[:, k : n + k]]
-        parts = total.reshape(rows, n // half, half, s.filters)
-        where = parts.argmax(axis=2)
-        pooled = np.take_along_axis(parts, where[:, :, None], axis=2)[:, :, 0]
-        first = pooled[:, :-1] >= pooled[:, 1:]
-        response = np.where(first, pooled[:, :-1], pooled[:, 1:]) + p["bias"]
-        chunks = np.maximum(response, 0)
-        hidden = chunks @ p["mix"] + p["shift"]
-        best = hidden.argmax(axis=1)  # rows x hidden
-        top = np.take_along_axis(hidden, best[:, None], axis=1)[:, 0]
+            total += p["table"][k][data[:, :, k : n + k]]
+        where = total.argmax(axis=2)  # rows x hidden x filters
+        response = np.maximum(np.take_along_axis(total, where[:, :, None], axis=2)[:, :, 0] + p["bias"], 0)
         units = np.maximum(top, 0)
         z = units @ p["out"] + p["base"][0]
         d = ((1 / (1 + np.exp(-np.clip(z, -30, 30)))) - y) / rows
         g = {"out": units.T @ d, "base": np.array([d.sum()])}
         d_top = d[:, None] * p["out"] * (top > 0)
-        own = np.arange(rows)[:, None]
-        at_best = chunks[own, best]  # rows x hidden x filters
         g["shift"] = d_top.sum(axis=0)
-        g["mix"] = np.einsum("rhf,rh->fh", at_best, d_top)
-        d_response = d_top[:, :, None] * p["mix"].T[None] * (at_best > 0)  # rows x hidden x filters
+        g["mix"] = np.einsum("rhf,rh->fh", response, d_top)
+        d_response = d_top[:, :, None] * p["mix"].T[None] * (response > 0)
         g["bias"] = d_response.sum(axis=(0, 1))
-        half_at = best[:, :, None] + ~first[own, best]
-        f = np.broadcast_to(np.arange(s.filters), half_at.shape)
-        r = np.broadcast_to(own[:, :, None], half_at.shape)
-        position = half_at * half + where[r, half_at, f]
         g["table"] = np.zeros_like(p["table"])
+        f = np.broadcast_to(np.arange(s.filters), where.shape)
         for k in range(s.width):
-            np.add.at(g["table"][k], (data[r, position + k], f), d_response)
+            np.add.at(g["table"][k], (np.take_along_axis(data, (where + k).reshape(rows, s.hidden, -1), axis=2), f), d_response)
         return g
 
     def fit(self, texts: list[bytes], y: np.ndarray) -> None:
-        s, half = self.s, self.s.chunk // 2
+        s = self.s
         share = float(np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99))
         if not 0 < y.sum() < len(y):
             self.p["base"][0] = np.log(share / (1 - share))
             return
         self.trained = True
-        size = s.sample_bytes // half * half + s.width - 1
         rng = np.random.default_rng(s.seed)
-        # texts shorter than the sample's length are repeated, so that no padding is learned as a sign of either label
-        data = np.stack([np.resize(self.padded(t)[: max(len(t), 1)], size) for t in texts])
+        data = [self.padded(t) for t in texts]
         moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in self.p.items()}
         step = 0
         weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
@@ -148,7 +144,7 @@ class Network:
             for a in range(0, len(order), s.batch):
                 own = order[a : a + s.batch]
                 step += 1
-                for k, g in self._gradients(data[own], y[own]).items():
+                for k, g in self._gradients([data[k] for k in own], y[own]).items():
                     g = g.astype(np.float32)
                     m, v = moments[k]
                     m += 0.1 * (g - m)
@@ -158,7 +154,7 @@ class Network:
 
 def fit(docs: DataFrame, labels: DataFrame, kept, settings: Settings = Settings()) -> Network:
     """``labels``: doc_id and quality; ``kept``: which of their rows may be learned from."""
-    rows = sample(docs, labels, "quality", kept, {1: settings.good_rows, 0: settings.poor_rows}, settings.sample_bytes)
+    rows = sample(docs, labels, "quality", kept, {1: settings.good_rows, 0: settings.poor_rows})
     network = Network(settings)
     network.fit(list(rows["text"]), rows["label"].to_numpy(dtype=np.float64) if len(rows) else np.zeros(0))
     return network
@@ -166,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, kept, settings: Settings = Settings(
 
 def scored(docs: DataFrame, network: Network) -> DataFrame:
     """``docs`` with quality_score (0 to 1) of the whole text; a column of that name is replaced."""
-    kept = [x for x in docs.schema.fields if x.name != "quality_score"]
+    kept = others(docs, "quality_score")
     schema = T.StructType([*kept, T.StructField("quality_score", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(network)  # a few hundred kilobytes, set by the settings
 

@@ -1,17 +1,20 @@
 """Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text.
 
-The ordinary dictionary is trained on pieces of ordinary texts. The toxic one holds that same content after a part that
-is trained on toxic text only: the stretches of toxic training texts whose byte n-grams are frequent among toxic documents
-and next to absent among ordinary ones. A window of a text is compressed with either; since both share the ordinary
-content, a window is shorter under the toxic dictionary only where toxic content matches. Overlapping windows cover the
-whole text. The windows' gains (their share, their sum over the best ones, and the best) are calibrated into a
-probability by a logistic fit, on training rows whose dictionaries come from the other half of them.
-
-Both dictionaries, the logistic weights and the settings are the model: some tens of kilobytes, sent to every worker.
-
-Defined cases: a null or empty text has no gain and gets the calibration's score for none; without labelled rows of both
-kinds every score is the share of toxic ones (0.5 without any); repeated rows score alike; an empty table gives an empty
-result; further columns are carried by ``scored``.
+Two dictionaries of equal size are trained on the whole toxic and the whole ordinary training texts. Overlapping windows
+cover a text; each is compressed with either, and the difference of the lengths says which kind it is nearer to. Toxic
+texts are mostly ordinary prose, so these differences alone tell little (see the README for figures). A third, small
+dictionary is therefore trained on the telling stretches of the toxic training texts: those whose byte n-grams are
+frequent among toxic documents and next to absent among ordinary ones. It lies before the ordinary dictionary's content,
+so that a window's gain over the ordinary dictionary comes from telling content alone.
+
+A text's window gains and differences (share, number, sum and best of the gains; mean and best four of the differences)
+are calibrated into a probability by a logistic fit, on training rows whose dictionaries come from the other half of
+them. The dictionaries, the weights and the settings are the model: some hundred kilobytes, sent to every worker.
+
+Defined cases: a null or empty text has one empty window; without labelled rows of both kinds every score is the share
+of toxic ones (0.5 without any); an id that is labelled both ways is ordinary, repeated rows score alike; an empty table
+gives an empty result; further columns are carried by ``scored``, but for one that is named toxicity in any case of
+letters, which is replaced.
 """
 
 from __future__ import annotations
@@ -28,24 +31,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skeingraph.llm.labelled import fold, sample
-from skeingraph.llm.textbuf import encoded
+from skeingraph.llm.textbuf import encoded, others
 from skeingraph.session import bound_arrow_batches
 from skeingraph.sources.tables import table
 
 
 @dataclass(frozen=True)
 class Settings:
-    toxic_rows: int = 600  # labelled rows that the model learns from
+    toxic_rows: int = 600  # labelled rows that the model learns from, whole texts
     ordinary_rows: int = 1800
-    sample_bytes: int = 6_000  # of a row of that sample only
     window: int = 48
     stride: int = 32
     gram: int = 5
     cover: int = 3  # n-grams that a byte must lie in
     least_share: float = 0.01  # of toxic documents that have an n-gram
     ratio: float = 0.02  # an n-gram's share among ordinary documents, at most so much of that among toxic ones
-    ordinary_bytes: int = 32_768
-    toxic_bytes: int = 2_000
+    dictionary_bytes: int = 32_768  # of the dictionaries of whole texts
+    telling_bytes: int = 2_000
+    piece: int = 4096  # of a whole text, that a dictionary is trained on at once
     threshold: float = 0.7
 
 
@@ -94,22 +97,33 @@ def _trained(samples: list[bytes], size: int, **how) -> bytes:
     return whole[-min(size, len(whole) - _HEADER) :] if len(whole) > _HEADER else b""
 
 
-def toxic_content(stretches: list[bytes], s: Settings) -> bytes:
+def telling_content(stretches: list[bytes], s: Settings) -> bytes:
     """Trained content before the most frequent stretches; what comes last is the cheapest to refer to."""
     joined = [b"".join(stretches[k : k + 20]) for k in range(0, len(stretches), 20)]
     frequent = b""
     for piece, n in sorted(Counter(stretches).items(), key=lambda x: (-x[1], x[0])):
-        if n < 2 or len(frequent) + len(piece) > s.toxic_bytes // 2:
+        if n < 2 or len(frequent) + len(piece) > s.telling_bytes // 2:
             break
         if piece not in frequent:
             frequent = piece + frequent
-    return _trained([*stretches, *joined], s.toxic_bytes // 2, k=16, d=6) + frequent
+    return _trained([*stretches, *joined], s.telling_bytes // 2, k=16, d=6) + frequent
+
+
+def whole_content(texts: list[bytes], s: Settings, k: int) -> bytes:
+    """A dictionary of whole texts; where zstandard finds too little, their end."""
+    pieces = [t[a : a + s.piece] for t in texts for a in range(0, len(t), s.piece)]
+    return _trained(pieces, s.dictionary_bytes, k=k, d=6) or b"".join(pieces)[-s.dictionary_bytes :]
+
+
+FEATURES = 6
 
 
 @dataclass
 class Model:
-    toxic: bytes
-    ordinary: bytes
+    toxic: bytes  # of whole texts
+    ordinary: bytes  # of whole texts, equally long segments
+    telling: bytes
+    base: bytes  # what the telling content lies before
     weights: np.ndarray  # bias first
     settings: Settings
 
@@ -126,26 +140,31 @@ class Model:
     def compressors(self):
         if self._compressors is None:
             how = zstandard.ZstdCompressionParameters(window_log=17, hash_log=15, chain_log=15, search_log=3, min_match=4, strategy=zstandard.STRATEGY_LAZY, target_length=32, write_content_size=0, write_checksum=0, write_dict_id=0)
-            self._compressors = [zstandard.ZstdCompressor(compression_params=how, dict_data=zstandard.ZstdCompressionDict(x, dict_type=zstandard.DICT_TYPE_RAWCONTENT)).compress for x in (self.ordinary, self.toxic + self.ordinary)]
+            contents = (self.base, self.telling + self.base, self.ordinary, self.toxic)
+            self._compressors = [zstandard.ZstdCompressor(compression_params=how, dict_data=zstandard.ZstdCompressionDict(x, dict_type=zstandard.DICT_TYPE_RAWCONTENT)).compress for x in contents]
         return self._compressors
 
-    def features(self, text: bytes) -> np.ndarray:
+    def lengths(self, text: bytes) -> np.ndarray:
+        """Compressed lengths, windows x dictionaries."""
         s = self.settings
-        if not text or not self.toxic:
-            return np.zeros(4)
-        ordinary, toxic = self.compressors()
         windows = [text[k : k + s.window] for k in range(0, max(1, len(text) - (s.window - s.stride)), s.stride)]
-        gains = np.array([len(ordinary(w)) - len(toxic(w)) for w in windows])
-        best = np.sort(gains)[::-1]
+        return np.array([[len(c(w)) for c in self.compressors()] for w in windows])
+
+    def features(self, text: bytes) -> np.ndarray:
+        if not self.toxic or not self.ordinary:
+            return np.zeros(FEATURES)
+        n = self.lengths(text)
+        gains, apart = n[:, 0] - n[:, 1], n[:, 2] - n[:, 3]
+        best, far = np.sort(gains)[::-1], np.sort(apart)[::-1]
         # a gain of one byte is within a parse's noise
-        return np.array([np.sqrt((gains >= 2).mean()) * 10, np.log1p((gains >= 3).sum()), np.log1p(max(0, best[:4].sum())), max(0, best[0]) / 4])
+        return np.array([np.sqrt((gains >= 2).mean()) * 10, np.log1p((gains >= 3).sum()), np.log1p(max(0, best[:4].sum())), max(0, best[0]) / 4, apart.mean(), far[:4].mean() / 4])
 
     def score(self, text: bytes) -> float:
         x = self.features(text)
         return float(1 / (1 + np.exp(-np.clip(self.weights[0] + x @ self.weights[1:], -30, 30))))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.1, steps: int = 50) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 50) -> np.ndarray:
     """Newton's method with an L2 penalty on all weights but the bias."""
     x = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(x.shape[1])
@@ -162,17 +181,17 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.1, steps: int = 5
 def fit(docs: DataFrame, labels: DataFrame, kept, settings: Settings = Settings()) -> Model:
     """``labels``: doc_id and toxic; ``kept``: which of their rows may be learned from."""
     s = settings
-    rows = sample(docs, labels, "toxic", kept, {1: s.toxic_rows, 0: s.ordinary_rows}, s.sample_bytes)
+    rows = sample(docs, labels, "toxic", kept, {1: s.toxic_rows, 0: s.ordinary_rows})
     y = rows["label"].to_numpy(dtype=float) if len(rows) else np.zeros(0)
     if not (y == 1).any() or not (y == 0).any():
         share = np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99)
-        return Model(b"", b"", np.array([np.log(share / (1 - share)), 0, 0, 0, 0]), s)
+        return Model(b"", b"", b"", b"", np.array([np.log(share / (1 - share)), *[0] * FEATURES]), s)
     texts = list(rows["text"])
     # either half's features come from dictionaries of the other half; the final dictionaries are of all
     half = np.zeros(len(y), bool)
     for value in (0, 1):
         half[np.flatnonzero(y == value)[::2]] = True
-    x = np.zeros((len(y), 4))
+    x = np.zeros((len(y), FEATURES))
     for own in (half, ~half):
         part = _dictionaries([t for t, o in zip(texts, own) if o], y[own], s)
         for k in np.flatnonzero(~own):
@@ -184,13 +203,12 @@ def fit(docs: DataFrame, labels: DataFrame, kept, settings: Settings = Settings(
 
 def _dictionaries(texts: list[bytes], y: np.ndarray, s: Settings) -> Model:
     toxic, ordinary = ([t for t, v in zip(texts, y) if v == value] for value in (1, 0))
-    pieces = [t[k : k + 256] for t in ordinary for k in range(0, min(len(t), 2048), 256)]
-    return Model(toxic_content(telling(toxic, ordinary, s), s), _trained(pieces, s.ordinary_bytes, k=64, d=6) or b"".join(pieces)[-s.ordinary_bytes :], np.zeros(5), s)
+    return Model(whole_content(toxic, s, 32), whole_content(ordinary, s, 32), telling_content(telling(toxic, ordinary, s), s), whole_content(ordinary, s, 64), np.zeros(1 + FEATURES), s)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with toxicity (0 to 1) of the whole text; a column of that name is replaced."""
-    kept = [x for x in docs.schema.fields if x.name != "toxicity"]
+    kept = others(docs, "toxicity")
     schema = T.StructType([*kept, T.StructField("toxicity", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the settings
 
