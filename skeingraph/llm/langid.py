@@ -4,12 +4,16 @@ Features are hashed n-grams (1 to 3 code points of the lower-cased text), weighe
 length. Document frequencies are counted over every training row, in one distributed pass. Weights are fitted on a
 bounded sample of labelled rows (``per_class`` of each language, smallest hashes) by follow-the-regularised-leader with
 L1 and L2 penalties, and the scores are calibrated by a temperature fitted on a further part of the sample that the
-weights have not seen. Whole texts are read; a text longer than ``block`` code points is counted in blocks, whose counts
-are added before weighing.
+weights have not seen. Whole texts are read, of the sample too: executors count its n-grams and only counts, at most one
+for each bucket, reach the driver. A text longer than ``block`` code points is counted in blocks, whose counts are added
+before weighing. Every language that a training row has is learned; the model holds one weight for each bucket and
+language, 64 KB for each language.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; ties go to the first language in order;
-without any training row every text is ``und``; rows with a null lang are not learned from; an empty table gives an
-empty result; further columns are carried by ``identified``.
+without any training row every text is ``und``; rows with a null lang are not learned from; rows equal in doc_id, lang
+and text are one row of the sample; an empty table gives an empty result; further columns are carried by ``identified``,
+but for those that are named lang_pred or score in any case of letters, which are replaced. ``accepted`` carries all
+columns as they are; where no row has a lang there is nothing to judge by, and it keeps all texts with a letter.
 """
 
 from __future__ import annotations
@@ -20,11 +24,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skeingraph.llm.labelled import fold
+from skeingraph.llm.textbuf import others
 from skeingraph.session import bound_arrow_batches
 from skeingraph.sources.tables import table
 
@@ -35,8 +40,6 @@ UNKNOWN = "und"
 class Settings:
     buckets: int = 1 << 14
     per_class: int = 400  # labelled rows of each language that the weights learn from
-    classes: int = 200  # languages, the most frequent ones first
-    sample_chars: int = 4000  # of a row of the fitting sample only; scored texts are read whole
     epochs: int = 3
     alpha: float = 0.5
     beta: float = 1.0
@@ -50,6 +53,10 @@ def held_out(doc_id: Column) -> Column:
     return fold(doc_id, 3) == 1
 
 
+def has_letter(text: str | None) -> bool:
+    return bool(text) and any(map(str.isalpha, text))
+
+
 def gram_counts(text: str, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, counts) of a text's n-grams."""
     total = np.zeros(settings.buckets, np.int64)
@@ -95,17 +102,16 @@ class Model:
     temperature: float
     settings: Settings
 
-    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        found, counts = gram_counts(text, self.settings)
+    def vector(self, found: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = (1 + np.log(counts)) * self.idf[found]
         return found, (x / max(np.sqrt((x * x).sum()), 1e-12)).astype(np.float32)
 
     def logits(self, text: str) -> np.ndarray:
-        found, x = self.vector(text)
+        found, x = self.vector(*gram_counts(text, self.settings))
         return x @ self.weights[found] + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.languages or not text or not any(map(str.isalpha, text)):
+        if not self.languages or not has_letter(text):
             return UNKNOWN, 0.0
         z = self.logits(text) / self.temperature
         p = np.exp(z - z.max())
@@ -123,13 +129,12 @@ def fit(rows: DataFrame, settings: Settings = Settings()) -> Model:
     frequency[inside.bucket.to_numpy()] = inside.n.to_numpy()
     n = float(counted[counted.bucket < 0].n.sum())
     idf = np.log((1 + n) / (1 + frequency)) + 1
-    frequent = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.classes).collect()}
-    sample = _sample(known, frequent, settings)
+    sample = _sample(known, settings)
     languages = sorted(sample["lang"].unique()) if len(sample) else []
     model = Model(languages, idf.astype(np.float32), np.zeros((settings.buckets, len(languages)), np.float32), np.zeros(len(languages), np.float32), 1.0, settings)
     if not languages:
         return model
-    vectors = [model.vector(t) for t in sample["text"]]
+    vectors = [model.vector(np.asarray(f, np.int64), np.asarray(c, np.int64)) for f, c in zip(sample["found"], sample["counts"])]
     labels = np.array([languages.index(x) for x in sample["lang"]])
     held = np.arange(len(labels)) % settings.calibration == 0 if len(labels) >= 5 * settings.calibration else np.zeros(len(labels), bool)
     _follow_the_leader(model, [v for v, h in zip(vectors, held) if not h], labels[~held])
@@ -138,22 +143,30 @@ def fit(rows: DataFrame, settings: Settings = Settings()) -> Model:
     return model
 
 
-def _sample(known: DataFrame, counts: dict[str, int], settings: Settings) -> pd.DataFrame:
-    """The rows of each language with the smallest hashes, in one scan: rows below the hash that some twice the wanted number lies under are
-    collected (bounded by the settings), then cut to ``per_class``."""
-    if not counts:
-        return pd.DataFrame({"lang": [], "text": [], "key": []})
-    key = F.xxhash64("doc_id", "text")
-    # twice the number and some more, so that falling short by chance is out of the question
-    share = {x: min(1.0, (2 * settings.per_class + 100) / n) for x, n in counts.items()}
-    below = F.lit(None).cast("long")
-    for x, part in share.items():
-        below = F.when(F.col("lang") == x, F.lit(int((1 << 62) * part))).otherwise(below)
-    near = F.shiftrightunsigned(key, 2) < below
-    rows = known.withColumn("_all", F.col("lang").isin([x for x, p in share.items() if p == 1.0])).where(F.col("_all") | near)
-    frame = rows.select("lang", F.substring("text", 1, settings.sample_chars).alias("text"), key.alias("key")).toPandas()
-    frame = frame.assign(order=frame["key"].astype("int64").to_numpy().view("uint64")).sort_values(["order", "text"], ignore_index=True)
-    return frame.groupby("lang", sort=False).head(settings.per_class).reset_index(drop=True)
+def _counted(settings: Settings):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, counts = zip(*(gram_counts(t, settings) for t in batch.column(2).to_pylist()))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], names=["lang", "key", "found", "counts"])
+
+    return run
+
+
+def _sample(known: DataFrame, settings: Settings) -> pd.DataFrame:
+    """lang and n-gram counts of the ``per_class`` rows of each language with the smallest hashes, in one scan after that which counts the languages: rows
+    below the hash that some twice the wanted number of different rows lies under are merged and ranked, then counted where they are."""
+    keyed = known.select("lang", "text", F.shiftrightunsigned(F.xxhash64("doc_id", "lang", "text"), 2).alias("key"))
+    sizes = keyed.groupBy("lang").agg(F.approx_count_distinct("key").alias("n")).toPandas()  # one row a language
+    if not len(sizes):
+        return pd.DataFrame({"lang": [], "found": [], "counts": []})
+    # twice the number and some more, so that falling short by chance, or by the estimate's error, is out of the question
+    below = [(x, int((1 << 62) * min(1.0, (2 * settings.per_class + 100) / max(1, n)))) for x, n in zip(sizes["lang"], sizes["n"])]
+    near = keyed.join(F.broadcast(known.sparkSession.createDataFrame(below, "lang string, below long")), "lang").where("key <= below")
+    near = near.groupBy("lang", "key").agg(F.min("text").alias("text"))  # repeated rows are one, and merge before the shuffle
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("key"))  # some hundreds of rows a language
+    rows = near.withColumn("place", place).where(F.col("place") <= settings.per_class).select("lang", "key", "text")
+    frame = rows.mapInArrow(_counted(settings), "lang string, key long, found array<int>, counts array<int>").toPandas()
+    return frame.sort_values(["key", "lang"], ignore_index=True)
 
 
 def _follow_the_leader(model: Model, vectors: list, labels: np.ndarray) -> None:
@@ -195,7 +208,7 @@ def _calibrate(model: Model, vectors: list, labels: np.ndarray) -> None:
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with lang_pred and score; columns of these names are replaced."""
-    kept = [x for x in docs.schema.fields if x.name not in ("lang_pred", "score")]
+    kept = others(docs, "lang_pred", "score")
     schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages floats: bounded by the settings
 
@@ -220,9 +233,19 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def accepted(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """A pipeline stage: keeps documents whose language is known with at least this score."""
     model = fit(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
-    names = docs.columns
-    renamed = docs.withColumnsRenamed({c: f"_in_{c}" for c in ("lang_pred", "score") if c in names})
-    judged = identified(renamed, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return judged.select(*[F.col(f"_in_{c}" if c in ("lang_pred", "score") else c).alias(c) for c in names])
+    shared, column = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            kept = []
+            for text in batch.column(column).to_pylist():
+                if model.languages:
+                    lang, score = model.predict(text)
+                    kept.append(lang != UNKNOWN and score >= least)
+                else:
+                    kept.append(has_letter(text))
+            yield batch.filter(pa.array(kept, pa.bool_()))
 
+    bound_arrow_batches(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
