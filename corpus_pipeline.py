@@ -6,6 +6,12 @@
 4. secrets: found secrets are replaced by ``<kind>`` in the text (``n_chars`` follows where it is a column); no document goes.
 5. mixing: documents are drawn by source up to the target weights, a row for each time that one is taken, with its output
    shard and its place there.
+
+Defined cases: an empty table gives an empty result at every stage; a null text has no language and goes at the first; a
+null doc_id, source or lang is an ordinary value; rows that repeat are near-duplicates of one another, and one stays;
+where no row has a lang, texts with a letter stay; every stage but the last returns the columns of its input as they
+are, whatever their names (of columns named shard or place, the last one's own take the place). Reruns on the same
+tables give the same rows.
 """
 
 from __future__ import annotations
@@ -13,7 +19,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from skeingraph.llm import decontaminate, langid, mixing, neardup, secrets
 from skeingraph.session import fresh_path, written
@@ -33,11 +38,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = secrets.scan_paths(docs, secrets.Ledger(spark, fresh_path(spark, "ledger")))
-    found = found.withColumn("text", secrets.redacted(F.col("text"), F.col("_spans")))
-    if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return found.select(*docs.columns)
+    return secrets.redacted(docs, secrets.Ledger(spark, fresh_path(spark, "ledger")))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

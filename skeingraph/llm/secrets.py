@@ -3,7 +3,9 @@
 Every version of every path is addressed by its content's SHA-256. The ledger is a folder of Parquet files: ``scanned``
 (blob, rules) says which blob was scanned under which version of the rules, ``findings`` holds what was found. A scan
 takes the distinct blobs of its input, drops pairs the ledger has, scans the rest, adds them to the ledger, and joins
-the findings back to every path of each blob.
+the findings back to every path of each blob. Against a ledger that has pairs under these rules, hashes are compared
+first and only texts of unseen blobs move: ``few`` unseen blobs go to the texts, by a broadcast whose size is counted;
+more of them meet the merged texts in a shuffle. A scan with nothing new moves hashes only.
 
 A text is scanned whole. Base kinds (``assign``, ``access``, ``hex``) are leftmost, non-overlapping matches per kind,
 from which too short ones are dropped. The further kinds of ``EXTRA`` add spans and change no base one. Spans are code
@@ -13,7 +15,8 @@ Copies meet in partial aggregates first, so a blob with a third of all paths cos
 paths is an ordinary equi-join whose large side AQE may split.
 
 Defined cases: a null text is scanned as empty; null or repeated paths keep a row each; an empty table gives an empty
-result and leaves the ledger as it is; further columns are carried by ``scan_paths``.
+result and leaves the ledger as it is; all columns are carried by ``scan_paths``, but for one that is named _spans in any
+case of letters, which is replaced. No pattern's time grows with the square of a text.
 """
 
 from __future__ import annotations
@@ -27,7 +30,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skeingraph.session import bound_arrow_batches, fresh_path
+from skeingraph.llm.textbuf import others, whole_row
+from skeingraph.session import bound_arrow_batches, fresh_path, written
 from skeingraph.sources.tables import table
 
 #: Kind, pattern, group, least length of that group.
@@ -51,8 +55,26 @@ _access = re.compile(BASE[1][1])
 _hex = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so these are the long ones among all runs
 _WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 _extra = tuple((kind, re.compile(p), least) for kind, p, _, least in EXTRA)
+_token = re.compile(r"[A-Za-z0-9_-]+")
+
+
+def _jwts(text: str) -> Iterator[tuple[int, int]]:
+    """What the pattern of ``jwt`` matches, leftmost and non-overlapping, in one pass over the runs of token characters: trying the pattern at every
+    ``eyJ`` of one long run would read that run to its end each time."""
+    runs = [(m.start(), m.end()) for m in _token.finditer(text)]
+    k = 0
+    while k + 2 < len(runs):
+        (a, b), (c, d), (e, f) = runs[k : k + 3]
+        at = text.find("eyJ", a, b - 1)
+        if at >= 0 and text[b:c] == "." and text.startswith("eyJ", c) and d - c > 3 and text[d:e] == ".":
+            yield at, f
+            k += 3
+        else:
+            k += 1
+
+
 #: A literal that a text must hold for a kind to be possible.
-_needs = {"pem": ("PRIVATE KEY",), "jwt": ("eyJ",), "prefixed": ("_", "xox", "glpat-"), "userinfo": ("://",)}
+_needs = {"pem": ("PRIVATE KEY",), "jwt": (".eyJ",), "prefixed": ("_", "xox", "glpat-"), "userinfo": ("://",)}
 _SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
@@ -67,7 +89,8 @@ def spans(text: str) -> list[tuple[str, int, int]]:
     found += [(m.start(), 2, "hex", m.end()) for m in _hex.finditer(text)]
     for k, (kind, pattern, least) in enumerate(_extra):
         if any(x in text for x in _needs[kind]):
-            found += [(m.start(), 3 + k, kind, m.end()) for m in pattern.finditer(text) if m.end() - m.start() >= least]
+            at = _jwts(text) if kind == "jwt" else (m.span() for m in pattern.finditer(text))
+            found += [(a, 3 + k, kind, z) for a, z in at if z - a >= least]
     return [(kind, start, end) for start, _, kind, end in sorted(found)]
 
 
@@ -79,10 +102,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Ledger:
-    """A folder in a store that all executors reach."""
+    """A folder in a store that all executors reach. ``few``: up to so many unseen blobs (some 50 bytes each) are broadcast."""
 
-    def __init__(self, spark: SparkSession, path: str, rules: str = RULES_VERSION):
-        self.spark, self.path, self.rules = spark, path, rules
+    def __init__(self, spark: SparkSession, path: str, rules: str = RULES_VERSION, few: int = 100_000):
+        self.spark, self.path, self.rules, self.few = spark, path, rules, few
 
     def _read(self, name: str, schema: str) -> DataFrame:
         jvm, where = self.spark.sparkContext._jvm, f"{self.path}/{name}"
@@ -102,8 +125,16 @@ class Ledger:
         """Scan those of (blob, text) that are unseen under these rules and record them. ``findings`` is written first: a pair counts as scanned
         only once its findings are there, and findings that a broken run left are the same as those of its repetition."""
         bound_arrow_batches(self.spark)
-        distinct = blobs.groupBy("blob").agg(F.first("text").alias("text"))  # copies meet here, one row a task each, before the ledger is asked
-        unseen = distinct.join(self.scanned().select("blob").distinct(), "blob", "left_anti")
+        known = self.scanned().select("blob").distinct()
+        merge = lambda texts: texts.groupBy("blob").agg(F.first("text").alias("text"))  # noqa: E731  copies meet in their own task first
+        if known.isEmpty():
+            unseen = merge(blobs)
+        else:
+            new = written(blobs.select("blob").distinct().join(known, "blob", "left_anti"), "unseen")
+            n = new.count()
+            if not n:
+                return
+            unseen = merge(blobs.join(F.broadcast(new), "blob", "left_semi")) if n <= self.few else merge(blobs).join(new, "blob", "left_semi")
         results = unseen.mapInArrow(_scan, T.StructType([T.StructField("blob", T.BinaryType()), T.StructField("spans", _SPAN)]))
         batch = fresh_path(self.spark, "scan")
         results.withColumn("rules", F.lit(self.rules)).write.parquet(batch)
@@ -119,9 +150,11 @@ def blob_of(text: Column) -> Column:
 def scan_paths(paths: DataFrame, ledger: Ledger, text: str = "text") -> DataFrame:
     """Adds ``_spans`` (array of kind, start, end) to every row of ``paths``, scanning only blobs that the ledger lacks."""
     ledger.add(paths.select(blob_of(F.col(text)).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("text")))
-    kept = paths.withColumn("_blob", blob_of(F.col(text)))
-    found = ledger.findings().groupBy("blob").agg(F.first("spans").alias("_spans")).withColumnRenamed("blob", "_blob")
-    return kept.join(found, "_blob", "left").withColumn("_spans", F.coalesce("_spans", F.array().cast(_SPAN))).drop("_blob")
+    kept = paths.select(blob_of(F.col(text)).alias("blob"), whole_row(paths).alias("row"))
+    found = ledger.findings().groupBy("blob").agg(F.first("spans").alias("spans"))
+    both = kept.join(found, "blob", "left")
+    carried = [F.col("row").getField(x.name).alias(x.name) for x in others(paths, "_spans")]
+    return both.select(*carried, F.coalesce("spans", F.array().cast(_SPAN)).alias("_spans"))
 
 
 def joined(which: Column) -> Column:
@@ -134,16 +167,46 @@ def digests(scanned: DataFrame) -> DataFrame:
     return scanned.select("doc_id", *[count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("_spans")).alias("spans"))
 
 
-def redacted(text: Column, found: Column) -> Column:
-    """The text with every found span replaced by ``<kind>``; spans that overlap are replaced as one, named after the first."""
-    merged = F.aggregate(
-        found,
-        F.array().cast(_SPAN),
-        lambda done, s: F.when((F.size(done) > 0) & (F.element_at(done, -1)["end"] > s["start"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["kind"].alias("kind"), F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(done, F.array(s))),
-    )
-    step = lambda s, x: F.struct(F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit("<"), x["kind"], F.lit(">")).alias("out"), x["end"].alias("at"))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    return F.when(F.size(found) == 0, text).otherwise(F.aggregate(merged, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text)))))
+def cleaned(text: str, found: list[tuple[str, int, int]]) -> str:
+    """The text with every span, in order of starts, replaced by ``<kind>``; spans that overlap are replaced as one, named after the first."""
+    out, at, k = [], 0, 0
+    while k < len(found):
+        kind, start, end = found[k]
+        while k + 1 < len(found) and found[k + 1][1] < end:
+            k += 1
+            end = max(end, found[k][2])
+        out += [text[at:start], f"<{kind}>"]
+        at, k = end, k + 1
+    return "".join(out) + text[at:]
+
+
+def redacted(docs: DataFrame, ledger: Ledger) -> DataFrame:
+    """``docs`` with found secrets replaced in ``text``; where a row changes, ``n_chars`` (if it is a column of whole numbers) is the new length. All columns
+    are carried, whatever their names; null texts stay null."""
+    found = scan_paths(docs.select("text", whole_row(docs).alias("row")), ledger)
+    at = docs.columns.index("text")
+    number = next((k for k, x in enumerate(docs.schema.fields) if x.name == "n_chars" and isinstance(x.dataType, T.IntegralType)), None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = batch.column(batch.schema.names.index("row")).flatten()
+            marked = batch.column(batch.schema.names.index("_spans")).to_pylist()
+            changed = [k for k, s in enumerate(marked) if s]
+            if changed:
+                texts = columns[at].to_pylist()
+                numbers = columns[number].to_pylist() if number is not None else None
+                for k in changed:
+                    texts[k] = cleaned(texts[k], [(x["kind"], x["start"], x["end"]) for x in marked[k]])
+                    if numbers:
+                        numbers[k] = len(texts[k])
+                columns[at] = pa.array(texts, columns[at].type)
+                if numbers:
+                    columns[number] = pa.array(numbers, columns[number].type)
+            yield pa.RecordBatch.from_arrays(columns, names=docs_names)
+
+    docs_names = docs.columns
+    bound_arrow_batches(docs.sparkSession)
+    return found.select("row", "_spans").mapInArrow(run, docs.schema)
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
