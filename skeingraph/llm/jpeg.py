@@ -2,8 +2,9 @@
 
 Decoding reads the entropy-coded segments between restart markers side by side: one vectorised step takes the next
 coefficient of every segment of every image in a batch, so Python's share of the work is one pass over a restart
-interval, however many segments there are. An image without restart markers is one segment. All baseline layouts are
-read (several components, subsampling, any AC content); only DC values are kept, which give each block's mean.
+interval, however many segments there are. An image without restart markers is one segment. Baseline files
+of one interleaved scan are read (several components, subsampling, any AC content); those with a scan for each component
+are an error. Only DC values are kept, which give each block's mean.
 
 The carrier stores one byte per 8x8 block: with a DC quantiser of 8 and no AC coefficient, the block of byte v is flat
 and of value v, so the file decodes to the bytes exactly, and its DC-only thumbnail is the payload itself.
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import struct
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 
@@ -217,18 +219,16 @@ def _lookup(table: bytes) -> tuple[np.ndarray, np.ndarray]:
     return length, symbol
 
 
-_lookups: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+@lru_cache(16)  # a megabyte each
+def _cached_lookup(table: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return _lookup(table)
 
 
 def decode_dc(images: list[Image]) -> list[list[np.ndarray]]:
     """DC values (before the step is applied) of images with equal keys: for each image and component, one row per coded unit."""
     layout, first = images[0].layout, images[0]
-    for c in first.components:
-        for k in ((0, c.dc), (1, c.ac)):
-            if first.tables[k] not in _lookups:
-                _lookups[first.tables[k]] = _lookup(first.tables[k])
-    dc = [_lookups[first.tables[0, c.dc]] for c in first.components]
-    ac = [_lookups[first.tables[1, c.ac]] for c in first.components]
+    dc = [_cached_lookup(first.tables[0, c.dc]) for c in first.components]
+    ac = [_cached_lookup(first.tables[1, c.ac]) for c in first.components]
     segments = [s for image in images for s in image.segments]
     sizes = np.array([len(s) for s in segments], np.int64)
     begin = np.concatenate([[0], np.cumsum(sizes + 8)])[:-1]

@@ -2,11 +2,12 @@
 
 ``store`` adds a binary column with the JPEG form of a text's padded UTF-8 bytes; ``describe`` parses and decodes a
 binary JPEG column and adds dimensions, the DC-only luminance thumbnail and its hashes. Rows are independent: there is no
-shuffle, and a worker holds one Arrow batch, decoded in runs of bounded size.
+shuffle, and a worker holds one Arrow batch, decoded in runs of bounded size. A payload of more than 192,000 bytes takes
+several JPEG files after one another in its cell, as an image's height is bounded; they are described as one tall image.
 
 Defined cases: a null text is empty, an empty one is 576 bytes of 255; equal texts give equal values; a null media value
 gives null features, and one that is no baseline JPEG gives null features and its message in ``error``; an empty table
-gives an empty result. Columns of the input that are named like new ones are replaced.
+gives an empty result. Columns of the input that are named like new ones, in any case of letters, are replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from skeingraph.llm import jpeg
-from skeingraph.llm.textbuf import encoded, runs
+from skeingraph.llm.textbuf import encoded, others, runs
 from skeingraph.session import bound_arrow_batches
 from skeingraph.sources.tables import table
 
@@ -37,8 +38,7 @@ def payload_of(text: bytes) -> bytes:
 
 def _mapped(df: DataFrame, more: list[T.StructField], f: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
     """``df`` with further columns, computed batch by batch."""
-    names = {x.name for x in more}
-    kept = [x for x in df.schema.fields if x.name not in names]
+    kept = others(df, *[x.name for x in more])
     schema = T.StructType([*kept, *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,12 +50,16 @@ def _mapped(df: DataFrame, more: list[T.StructField], f: Callable[[pa.RecordBatc
     return df.mapInArrow(run, schema)
 
 
+def _stored(texts: list[bytes]) -> list[bytes]:
+    return [jpeg.encode(payload_of(t)) for t in texts]
+
+
 def store(docs: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
     """Adds ``n_bytes`` (unpadded) and the binary column ``media``."""
 
     def f(batch: pa.RecordBatch) -> list[pa.Array]:
         texts = encoded(batch.column(batch.schema.names.index(text)))
-        return [pa.array([len(t) for t in texts], pa.int64()), pa.array([jpeg.encode(payload_of(t)) for t in texts], pa.binary())]
+        return [pa.array([len(t) for t in texts], pa.int64()), pa.array(_stored(texts), pa.binary())]
 
     return _mapped(docs, [T.StructField("n_bytes", T.LongType()), T.StructField(media, T.BinaryType())], f)
 
@@ -118,23 +122,50 @@ def describe(df: DataFrame, media: str = "media") -> DataFrame:
     return _mapped(df, [T.StructField(n, t) for n, t, _ in _DESCRIBED], f)
 
 
-def _digests(batch: pa.RecordBatch) -> list[pa.Array]:
-    column = lambda name: batch.column(batch.schema.names.index(name)).to_pylist()
-    media, thumbs = column("media"), column("thumbnail")
-    return [
-        pa.array([len(t) for t in thumbs], pa.int64()),
-        pa.array([hashlib.sha256(t).hexdigest() for t in thumbs], pa.string()),
-        pa.array([zlib.crc32(t[-32:]) for t in thumbs], pa.int64()),
-        pa.array([len(m) for m in media], pa.int64()),
-        pa.array([hashlib.sha256(m).hexdigest() for m in media], pa.string()),
-        pa.array([f"{w}x{h}:{a}:{d}" for w, h, a, d in zip(*map(column, ("width", "height", "average_hash", "difference_hash")))], pa.string()),
-    ]
+_DIGESTS = [("n_bytes", T.LongType(), pa.int64()), ("payload_bytes", T.LongType(), pa.int64()), ("payload_sha256", T.StringType(), pa.string()), ("tail_crc32", T.LongType(), pa.int64()), ("media_bytes", T.LongType(), pa.int64()), ("media_sha256", T.StringType(), pa.string()), ("feature", T.StringType(), pa.string())]
+
+
+def digests(texts: list[bytes]) -> list[tuple]:
+    """Store each text and describe what was stored. The payload is read back from the stored file: the carrier's thumbnail has a sample for each payload
+    byte."""
+    files = _stored(texts)
+    out = []
+    for text, file, (wide, high, average, difference, thumb, error) in zip(texts, files, _describe(files)):
+        if error:
+            raise jpeg.JpegError(f"a stored payload does not read back: {error}")
+        out.append((len(text), len(thumb), hashlib.sha256(thumb).hexdigest(), zlib.crc32(thumb[-32:]), len(file), hashlib.sha256(file).hexdigest(), f"{wide}x{high}:{average}:{difference}"))
+    return out
+
+
+def stored_digests(docs: DataFrame, text: str = "text") -> DataFrame:
+    """What ``store`` and ``describe`` give, as digests, in one pass of Python: the media and their payloads stay in the worker."""
+
+    def f(batch: pa.RecordBatch) -> list[pa.Array]:
+        texts = encoded(batch.column(batch.schema.names.index(text)))
+        found = [x for a, b in runs([len(t) for t in texts], TOGETHER) for x in digests(texts[a:b])]
+        return [pa.array([x[k] for x in found], kind) for k, (_, _, kind) in enumerate(_DIGESTS)]
+
+    return _mapped(docs, [T.StructField(n, t) for n, t, _ in _DIGESTS], f)
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The payload is read back from the stored file: the carrier's thumbnail has a sample for each payload byte."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    stored = store(docs).drop("text")
-    long, string = T.LongType(), T.StringType()
-    more = [T.StructField(n, t) for n, t in (("payload_bytes", long), ("payload_sha256", string), ("tail_crc32", long), ("media_bytes", long), ("media_sha256", string), ("feature", string))]
-    return _mapped(describe(stored), more, _digests).select("doc_id", "n_bytes", *[x.name for x in more])
+    return stored_digests(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op10_media says that does not depend on the image format: the payload as it was read back."""
+    return op10_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32")
+
+
+def _sql() -> str:
+    """Padding, hash, and the CRC-32 of the last 32 bytes, bit by bit."""
+    bits = "list_reduce(range(9), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, {start})"
+    step = bits.replace("range(9)", "[0, 0, 0, 0, 0, 0, 0, 0]").format(start="xor(crc, b)")
+    crc = f"list_reduce(tail, lambda crc, b: {step}, 4294967295::BIGINT)"
+    pad = "576 - (n - 1) % 576 - 1"
+    whole = f"SELECT doc_id, n AS n_bytes, n + CASE WHEN n = 0 THEN 576 ELSE {pad} END AS payload_bytes, hex(encode(t)) || repeat('FF', (CASE WHEN n = 0 THEN 576 ELSE {pad} END)::INT) AS h FROM (SELECT doc_id, coalesce(text, '') AS t, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents)"
+    tail = "list_transform(range(32), lambda k: ('0x' || substr(h, length(h) - 63 + 2 * k, 2))::BIGINT)"
+    return f"SELECT doc_id, n_bytes, payload_bytes, sha256(unhex(h)) AS payload_sha256, xor({crc}, 4294967295) AS tail_crc32 FROM (SELECT *, {tail} AS tail FROM ({whole}))"
+
+
+MEDIA_PAYLOADS_SQL = _sql()

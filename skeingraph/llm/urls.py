@@ -6,12 +6,14 @@ smallest hashes) is turned into counts of equal binned rows; every tree level is
 hessians over it, by leaf, feature and bin, and the driver sees those sums only (leaves times features times bins). The
 fitted trees become CASE expressions, so that scoring is a projection.
 
-Suffix statistics are the share of labelled rows that are blocked, smoothed, by the host's last label; suffixes are
-learned from the sample, at most ``suffixes`` of the most frequent, the rest taking the overall share.
+Suffix statistics are the share of labelled rows that are blocked, smoothed, by the host's last label. Every suffix of the
+sample has its own, in a table with at most a row for each sampled row, which is broadcast; the rest take the overall
+share. The shares' cuts lie evenly among their different values, the outermost included.
 
 Defined cases: a url that is null or has no ``://`` has an empty host and path and is scored on empty features; an
 empty table gives an empty result; without labelled rows of both kinds the score is the smoothed share of blocked ones;
-repeated rows are judged alike; further columns are carried by ``judged``.
+repeated rows are judged alike; all columns are carried by ``judged``, whatever their names, but for those that are named
+host, path, rule, score or verdict in any case of letters, which are replaced.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skeingraph.llm.textbuf import others, whole_row
 from skeingraph.session import written
 from skeingraph.sources.tables import table
 
@@ -38,7 +41,7 @@ class Boost:
     depth: int = 2
     rate: float = 0.4
     penalty: float = 1.0
-    suffixes: int = 50
+    share_cuts: int = 48  # between suffix shares, at least two
     threshold: float = 0.5
 
 
@@ -49,10 +52,10 @@ def parts(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
-def with_rule(pages: DataFrame, rules=RULES) -> DataFrame:
-    """Adds host, path, rule and ``_ruled`` (its verdict); the longest fitting rule wins."""
+def with_rule(urls: DataFrame, rules=RULES) -> DataFrame:
+    """Adds host, path, rule and ``_ruled`` (its verdict) to a table with a ``url`` and no such columns; the longest fitting rule wins."""
     host, path = parts(F.col("url"))
-    df = pages.withColumns({"host": host, "path": path})
+    df = urls.withColumns({"host": host, "path": path})
     order = sorted(rules, key=lambda r: -len(r[0] + r[1]))
     fits = [((F.col("host") == h) | F.endswith("host", F.lit("." + h))) & F.startswith("path", F.lit(p)) for h, p, _ in order]
     pick = lambda value: reduce(lambda rest, x: F.when(x[0], F.lit(value(x[1]))).otherwise(rest), reversed(list(zip(fits, order))), F.lit(None).cast("string"))
@@ -85,13 +88,21 @@ def features(df: DataFrame) -> DataFrame:
 N_FEATURES = 11  # the ten above and the suffix's share
 
 
-def _binned(df: DataFrame, cuts: list[list[float]], shares: dict[str, float], overall: float) -> DataFrame:
+def _binned(df: DataFrame, cuts: list[list[float]], shares: DataFrame | None, overall: float) -> DataFrame:
     """Adds b0..: how many of a feature's cuts lie below its value."""
-    share = reduce(lambda rest, x: F.when(F.col("_suffix") == x[0], F.lit(x[1])).otherwise(rest), shares.items(), F.lit(overall))
+    share = F.lit(overall)
+    if shares is not None:
+        df, share = df.join(F.broadcast(shares), "_suffix", "left"), F.coalesce("_share", F.lit(overall))
     df = df.withColumn(f"f{N_FEATURES - 1}", share)
     return df.withColumns({f"b{k}": reduce(lambda s, c: s + (F.col(f"f{k}") > F.lit(c)).cast("int"), cuts[k], F.lit(0)) for k in range(N_FEATURES)})
 
 
+def share_cuts(values: list[float], most: int) -> list[float]:
+    """Points between neighbouring values; of more than ``most``, an even choice with the first and the last."""
+    between = [(a + b) / 2 for a, b in zip(values, values[1:])]
+    return between if len(between) <= most else [between[round(k * (len(between) - 1) / (most - 1))] for k in range(most)]
+
+
 def _tree_column(tree: dict) -> Column:
     if "value" in tree:
         return F.lit(tree["value"])
@@ -102,14 +113,14 @@ def _tree_column(tree: dict) -> Column:
 class Model:
     base: float
     cuts: list[list[float]]
-    shares: dict[str, float]
+    shares: DataFrame | None  # _suffix, _share
     overall: float
     trees: list[dict]
 
     def score(self, featured: DataFrame, name: str = "score") -> DataFrame:
         binned = _binned(featured, self.cuts, self.shares, self.overall)
         margin = reduce(lambda s, t: s + _tree_column(t), self.trees, F.lit(self.base))
-        return binned.withColumn(name, 1 / (1 + F.exp(-margin))).drop(*[f"b{k}" for k in range(N_FEATURES)], f"f{N_FEATURES - 1}")
+        return binned.withColumn(name, 1 / (1 + F.exp(-margin)))
 
 
 def fit(labelled: DataFrame, boost: Boost = Boost()) -> Model:
@@ -119,15 +130,13 @@ def fit(labelled: DataFrame, boost: Boost = Boost()) -> Model:
     overall = (blocked + 1) / (n + 2)
     base = math.log(overall / (1 - overall))
     if blocked in (0, n):
-        return Model(base, [[] for _ in range(N_FEATURES)], {}, overall, [])
-    by_suffix = sample.groupBy("_suffix").agg(F.count(F.lit(1)).alias("n"), F.sum("_label").alias("k")).orderBy(F.desc("n"), "_suffix").limit(boost.suffixes).collect()
-    shares = {r["_suffix"]: (r["k"] + 5 * overall) / (r["n"] + 5) for r in by_suffix}
+        return Model(base, [[] for _ in range(N_FEATURES)], None, overall, [])
+    by_suffix = sample.groupBy("_suffix").agg(((F.sum("_label") + 5 * overall) / (F.count(F.lit(1)) + 5)).alias("_share"))
+    shares = written(by_suffix, "shares")
     grid = [(k + 1) / boost.bins for k in range(boost.bins - 1)]
     quantiles = sample.agg(*[F.percentile_approx(f"f{k}", F.lit(grid), 10_000).alias(f"q{k}") for k in range(N_FEATURES - 1)]).first()
     cuts = [sorted(set(q)) for q in quantiles]
-    # between shares: a suffix's own side of every cut
-    values = sorted({*shares.values(), overall})
-    cuts.append([(a + b) / 2 for a, b in zip(values, values[1:])][: 4 * boost.bins])
+    cuts.append(share_cuts(sorted({r[0] for r in shares.select("_share").distinct().collect()} | {overall}), boost.share_cuts))  # bounded by the sample
     bins = [f"b{k}" for k in range(N_FEATURES)]
     counts = written(_binned(sample, cuts, shares, overall).groupBy("_label", *bins).agg(F.count(F.lit(1)).alias("n")), "binned")
     trees: list[dict] = []
@@ -181,14 +190,35 @@ def _leaf_column(tree: dict) -> Column:
     return F.when(F.col(f"b{tree['feature']}") <= tree["bin"], _leaf_column(tree["left"])).otherwise(_leaf_column(tree["right"]))
 
 
+ADDED = ("host", "path", "rule", "score", "verdict")
+
+
 def judged(pages: DataFrame, boost: Boost = Boost(), labelled: DataFrame | None = None) -> DataFrame:
     """Adds host, path, rule, score and verdict to ``pages``; labelled: url, _label (default: what the rules decide)."""
-    ruled = with_rule(pages)
-    known = with_rule(labelled).select("url", "host", "path", "_label") if labelled is not None else ruled.where("_ruled is not null").select("url", "host", "path", (F.col("_ruled") == "block").cast("int").alias("_label"))
-    scored = fit(known, boost).score(features(ruled))
+    ruled = with_rule(pages.select("url", whole_row(pages).alias("_row")))
+    known = with_rule(labelled.select("url", "_label")) if labelled is not None else ruled.where("_ruled is not null").withColumn("_label", (F.col("_ruled") == "block").cast("int"))
+    scored = fit(known.select("url", "host", "path", "_label"), boost).score(features(ruled))
     own = F.when(F.col("score") >= boost.threshold, "block").otherwise("allow")
-    return scored.withColumn("verdict", F.coalesce("_ruled", own)).drop("_ruled", "_suffix", *[f"f{k}" for k in range(N_FEATURES - 1)])
+    carried = [F.col("_row").getField(x.name).alias(x.name) for x in others(pages, *ADDED)]
+    return scored.select(*carried, "host", "path", "rule", "score", F.coalesce("_ruled", own).alias("verdict"))
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op8_url_filter says that does not come from the trees: host, path, rule, and the rule's verdict."""
+    return op8_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("ruled"))
+
+
+def _rules_sql() -> str:
+    order = sorted(RULES, key=lambda r: -len(r[0] + r[1]))
+    pick = lambda value: "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{value(h, p, v)}'" for h, p, v in order) + " END"
+    rest = "CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END"
+    host = "translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    split = f"SELECT page_id, {host} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM (SELECT page_id, coalesce({rest}, '') AS rest FROM pages)"
+    return f"SELECT page_id, host, path, {pick(lambda h, p, v: h + p)} AS rule, {pick(lambda h, p, v: v)} AS ruled FROM ({split})"
+
+
+URL_RULES_SQL = _rules_sql()
