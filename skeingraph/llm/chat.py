@@ -6,7 +6,8 @@ texts every ``<|`` is written ``<||``, which no control string begins with, so t
 ``loss`` has, for each assistant text, its block and its code-point range in that block (start from 0, end exclusive).
 
 Escaping happens row by row before the turns of a conversation meet. A conversation is one output value, so its own
-turns must meet in one task; no other state grows with the input.
+turns must meet in one task; no other state grows with the input. Where a text lies in its block follows from a running
+sum over the conversation's rows, so that a long run of one role costs time in proportion.
 
 Defined cases: turns are ordered by turn (null first), then role, then text, so ties and repeated rows have one order and
 all are kept; a null text or role is empty; rows of a null conv_id form one conversation; an empty table gives no
@@ -15,9 +16,10 @@ conversation; further columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skeingraph.sources.tables import table
@@ -37,7 +39,10 @@ def unescape(text: Column) -> Column:
 
 def formatted(turns: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text) -> conv_id, formatted, loss: array of (block, start, end)."""
-    rows = turns.select("conv_id", F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("order"), escape(F.col("role")).alias("head"), escape(F.col("text")).alias("body")).alias("_turn"))
+    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("order"), escape(F.col("role")).alias("head"), escape(F.col("text")).alias("body"))
+    # where a text would begin if all texts of the conversation were joined; rows that are equal may change places
+    upto = F.sum(F.length("body").cast("long") + len(NEXT)).over(Window.partitionBy("conv_id").orderBy("turn", "role", "order").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.select("conv_id", F.struct("turn", "role", "order", (upto - F.length("body") - len(NEXT)).alias("at"), "head", "body").alias("_turn"))
     grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("_turn")).alias("_turns"))
     # positions at which a block begins: the first turn, and those whose role differs from the one before
     begins = F.filter(F.sequence(F.lit(1), F.size("_turns")), lambda k: (k == 1) | (F.element_at("_turns", k)["role"] != F.element_at("_turns", F.greatest(k - 1, F.lit(1)))["role"]))
@@ -45,14 +50,11 @@ def formatted(turns: DataFrame) -> DataFrame:
     blocks = F.zip_with("_begins", "_ends", lambda a, b: F.slice("_turns", a, b - a))
     grouped = grouped.withColumn("_blocks", blocks)
     text = F.array_join(F.transform("_blocks", lambda x: F.concat(F.lit(START), x[0]["head"], F.lit(MESSAGE), F.array_join(F.transform(x, lambda t: t["body"]), NEXT), F.lit(END))), "")
-    gap = F.lit(len(NEXT))
-
     def ranges(x: Column, k: Column) -> Column:
-        """Running ranges of a block's texts."""
+        """The ranges of a block's texts."""
         begin = F.length(F.concat(F.lit(START), x[0]["head"], F.lit(MESSAGE)))
-        empty = F.struct(begin.alias("at"), F.array().cast("array<struct<block:int,start:int,end:int>>").alias("found"))
-        step = lambda s, t: F.struct((s["at"] + F.length(t["body"]) + gap).alias("at"), F.concat(s["found"], F.array(F.struct(k.cast("int").alias("block"), s["at"].alias("start"), (s["at"] + F.length(t["body"])).alias("end")))).alias("found"))
-        return F.aggregate(x, empty, step, lambda s: s["found"])
+        start = lambda t: (begin + t["at"] - x[0]["at"]).cast("int")
+        return F.transform(x, lambda t: F.struct(k.cast("int").alias("block"), start(t).alias("start"), (start(t) + F.length(t["body"])).alias("end")))
 
     loss = F.flatten(F.transform("_blocks", lambda x, k: F.when(x[0]["role"] == LEARNED, ranges(x, k)).otherwise(F.array().cast("array<struct<block:int,start:int,end:int>>"))))
     return grouped.select("conv_id", text.alias("formatted"), loss.alias("loss"))
@@ -64,14 +66,24 @@ def read_back(chats: DataFrame) -> DataFrame:
     inner = lambda x: F.substring(x, F.lit(1), F.length(x) - len(END))
 
     def parts(x: Column) -> Column:
-        head = F.substring_index(inner(x), MESSAGE, 1)
-        body = F.substring(inner(x), F.length(head) + 1 + len(MESSAGE), F.length(x))
-        return F.transform(F.split(body, r"<\|next\|>"), lambda t: F.struct(unescape(head).alias("role"), unescape(t).alias("text")))
+        split = lambda y: _let(F.substring_index(y, MESSAGE, 1), lambda head: _let(F.substring(y, F.length(head) + 1 + len(MESSAGE), F.length(y)), lambda body: turns(head, body)))
+        return _let(inner(x), split)
+
+    def turns(head: Column, body: Column) -> Column:
+        return _let(unescape(head), lambda role: F.transform(F.split(body, r"<\|next\|>"), lambda t: F.struct(role.alias("role"), unescape(t).alias("text"))))
 
-    learned = F.transform("loss", lambda m: unescape(F.substring(F.concat(F.lit(START), F.element_at("_parts", m["block"] + 1)), m["start"] + 1, m["end"] - m["start"])))
+    # code points of equal width, so that a range is cut out without counting from the block's start
+    wide = F.transform("_parts", lambda x: F.encode(F.concat(F.lit(START), x), "UTF-32"))
+    cut = lambda parts, m: F.decode(F.substring(F.element_at(parts, m["block"] + 1), 4 * m["start"] + 1, 4 * (m["end"] - m["start"])), "UTF-32")
+    learned = _let(wide, lambda parts: F.transform("loss", lambda m: unescape(cut(parts, m))))
     return chats.withColumn("_parts", blocks).withColumn("turns", F.flatten(F.transform("_parts", parts))).withColumn("learned", learned).drop("_parts")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, although ``body`` names it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def digests(read: DataFrame) -> DataFrame:
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     learned = F.array_join("learned", "")

@@ -8,13 +8,18 @@ of a long item. A window with too few of the item's words to reach that, all of
 window is left out. So a passage is missed only if it shares no ``width`` consecutive words with the item. The work grows
 with the windows: common n-grams shared by many items and documents cost time, never passages.
 
-Documents are never shuffled: each worker holds one block of the benchmark (at most ``block_bytes`` of text, a checked
-bound), and a benchmark of more blocks is met block by block. Windows are whole; a document with many hits or windows is
-met in batches of bounded memory.
-
-Defined cases: a null or empty text has no passage; an item of fewer than ``least_words`` words is no evidence and is
-never reported; items with equal texts are reported each; rows that repeat are reported each; an empty benchmark or
-table gives an empty result; ``clean`` carries all columns.
+An item of fewer than ``least_words`` words is reported where all its words stand together, and nowhere else. Of several
+passages of one item in one document the best is reported, the first of equal ones.
+
+Documents are never shuffled: each worker holds one block of the benchmark, and a benchmark of more blocks is met block by
+block. Items are dealt to blocks by hash, to twice as many until no block has more than ``block_bytes`` of text, which is
+checked before anything is sent; only an item that is longer by itself has a larger block, of its own. Windows are whole;
+a document with many hits or windows is met in batches of bounded memory.
+
+Defined cases: a null or empty text has no passage; an item that is null or has no word is never reported; items with
+equal texts are reported each; rows that repeat are reported each; an empty benchmark or table gives an empty result;
+``clean`` carries all columns, whatever their names, and keeps documents in which only items of fewer than
+``least_words`` words were found: a phrase of a few words is no evidence that a benchmark was copied.
 """
 
 from __future__ import annotations
@@ -118,6 +123,14 @@ class Matcher:
         item = words.doc[at]
         kept = words.counts[item] >= settings.least_words
         at, hashes, item = at[kept], hashes[kept], item[kept]
+        #: number of words -> (hashes of whole short items in order, their items)
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in range(1, settings.least_words):
+            begin, whole = _grams(words, n)
+            own = np.flatnonzero(words.counts[words.doc[begin]] == n)
+            if len(own):
+                own = own[np.argsort(whole[own], kind="stable")]
+                self.short[n] = whole[own], words.doc[begin[own]]
         order = np.argsort(hashes, kind="stable")
         self.item, self.offset, self.hash = item[order], (at - words.first[item])[order], hashes[order]
         self.grams = Grams(self.hash)
@@ -146,10 +159,26 @@ class Matcher:
         key = np.unique(np.concatenate(keys))
         return key // cells // len(self.items), key // cells % len(self.items), key % cells
 
-    def passages(self, texts: list[bytes]) -> list[tuple[int, int, int, float, int, int]]:
-        """(text, item, score, share of the item's best score, start byte, end byte) of each text and item that match, the best passage of each."""
-        s = self.settings
+    def short_passages(self, words: Words) -> list[tuple[int, int, int, int]]:
+        """(text, item, first word, words) of the first place of each short item in each text."""
+        found: dict[tuple[int, int], tuple[int, int]] = {}
+        for n, (wanted, items) in self.short.items():
+            at, hashes = _grams(words, n)
+            low, high = np.searchsorted(wanted, hashes, "left"), np.searchsorted(wanted, hashes, "right")
+            for k in np.flatnonzero(high > low):
+                for item in items[low[k] : high[k]]:
+                    found.setdefault((int(words.doc[at[k]]), int(item)), (int(at[k]), n))
+        return [(d, i, a, n) for (d, i), (a, n) in sorted(found.items())]
+
+    def passages(self, texts: list[bytes], short: bool = True) -> list[tuple[int, int, int, float, int, int]]:
+        """(text, item, score, share of the item's best score, start byte, end byte) of each text and item that match, the best passage of each; those of short
+        items last."""
         words = _words(texts)
+        brief = [(d, i, 2 * n, 1.0, int(words.starts[a] - words.offsets[d]), int(words.ends[a + n - 1] - words.offsets[d])) for d, i, a, n in self.short_passages(words)] if short else []
+        return self.aligned(words) + brief
+
+    def aligned(self, words: Words) -> list[tuple[int, int, int, float, int, int]]:
+        s = self.settings
         if not len(self.hash):
             return []
         doc, item, cell = self.windows(words)
@@ -188,10 +217,16 @@ def matchers(docs: DataFrame, benchmark: DataFrame, settings: Settings = Setting
     """A matcher for each block of the benchmark."""
     bound_arrow_batches(docs.sparkSession)
     items = benchmark.where(F.col("text").isNotNull()).select("item_id", "text")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // settings.block_bytes))
+    size, key = F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.xxhash64("item_id", "text")
+    total = items.agg(size).first()[0]
+    blocks = 1 << max(0, -(-total // settings.block_bytes) - 1).bit_length()
+    while blocks > 1:
+        dealt = items.groupBy(F.pmod(key, F.lit(blocks)).alias("block")).agg(size.alias("size"), F.count_distinct("text").alias("n"))
+        if dealt.where((F.col("size") > settings.block_bytes) & (F.col("n") > 1)).isEmpty():
+            break
+        blocks *= 2
     for block in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else items
+        own = items.where(F.pmod(key, F.lit(blocks)) == block) if blocks > 1 else items
         frame = own.toPandas().sort_values(["item_id", "text"])  # bounded by block_bytes
         yield Matcher(frame["item_id"].tolist(), [t.encode("utf-8", "replace") for t in frame["text"]], settings)
 
@@ -240,7 +275,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()
                 texts = encoded(batch.column(column))
                 kept = np.ones(len(texts), bool)
                 for a, b in runs([len(t) for t in texts], matcher.settings.together):
-                    kept[[a + x[0] for x in matcher.passages(texts[a:b])]] = False
+                    kept[[a + x[0] for x in matcher.passages(texts[a:b], short=False)]] = False
                 yield batch.filter(pa.array(kept))
 
         docs = docs.mapInArrow(run, docs.schema)
