@@ -9,15 +9,21 @@ shingles repeat. A class is a connected component of links; equal texts are alwa
 Equal texts are one node, found by partial aggregates. The nodes of a bucket (a band's key) are never paired with one
 another wholesale. In each round one node of each bucket, the hub, is compared with those of the bucket that are of
 another class by now, then leaves the bucket: its pairs are settled. As classes merge, buckets of one class end. What is
-left after ``rounds`` rounds - buckets that hold dissimilar texts - is compared in blocks of at most ``block`` nodes,
-inside which an inverted index finds the links; only links leave a block, at most one for each node and class. So no
-candidate pair goes unsettled, and no task holds more than two blocks. Every round's tables are written to the
-shared folder, which also cuts lineage.
+left after ``rounds`` rounds - buckets that hold dissimilar texts - is settled by an exact prefix-filtered join: texts of
+similarity 0.8 share one of the rarest fifth (and one) of their shingles, and where in that order they first do bounds
+what they can have in common; only pairs of different classes that pass are compared. So no candidate pair goes
+unsettled.
+
+Buckets, hubs and shingles with more than ``spread`` rows are dealt to several tasks, by a hash of the node, and what
+these meet is repeated for each; shingle arrays move only for pairs that are compared, never for whole buckets. Labels
+merge by joins whose large side AQE may split. Every round's tables are written to the shared folder, which also cuts
+lineage, and go when the operator has its classes.
 
 Defined cases: a null text is empty; an empty text or one without a word is linked to nothing, but equal ones are one
 class; a text of fewer than five words has one shingle of all its words; a class is named by its least doc_id (null
 only if all are null); repeated rows get a row each; an empty table gives an empty result; ``deduplicated`` carries all
-columns and keeps of every class one row, with the least doc_id, then the least MD5 of the text.
+columns, whatever their names, and keeps of every class one row, with the least doc_id, then the least MD5 of the text
+(of rows equal in both, the one of least hash of all columns).
 """
 
 from __future__ import annotations
@@ -27,14 +33,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skeingraph.llm.probminhash import document_bands, shingle_sets
-from skeingraph.llm.textbuf import encoded, runs
-from skeingraph.session import bound_arrow_batches, written
+from skeingraph.llm.textbuf import encoded, runs, whole_row
+from skeingraph.session import bound_arrow_batches, scratch, written
 from skeingraph.sources.tables import table
 
 
@@ -45,7 +51,7 @@ class Settings:
     bands: int = 36  # of each sketch
     rows: int = 5
     rounds: int = 4
-    block: int = 512
+    spread: int = 512  # rows of one key that a task joins
     together: int = 1 << 20  # bytes of text that are sketched at once
 
 
@@ -102,11 +108,26 @@ def _sizes_fit(s: Settings, a: Column, b: Column) -> Column:
     return F.least(a, b) * den >= F.greatest(a, b) * num
 
 
+def _met(left: DataFrame, right: DataFrame, key: str, by: str, hot: DataFrame) -> DataFrame:
+    """``left`` joined with the rows of ``right``, one for each ``key``. ``hot`` (key, _salts): keys with many rows in ``left``, which are dealt to that many parts
+    by a hash of ``by``; its size decides whether Spark broadcasts it."""
+    own = left.join(hot, key, "left").withColumn("_salt", F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(by), F.col("_salts")).cast("int"))).drop("_salts")
+    met = right.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return own.join(met, [key, "_salt"]).drop("_salt")
+
+
+def _hot(sizes: DataFrame, key: str, s: Settings) -> DataFrame:
+    """``sizes``: key, c."""
+    return written(sizes.where(F.col("c") > s.spread).select(key, F.ceil(F.col("c") / s.spread).cast("int").alias("_salts")), "hot")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
-    """Those of (a, b, label_a, label_b) that are similar, as links between labels."""
+    """Those of (a, b, label_a, label_b) that are similar, as links between labels; ``b`` may be in many pairs."""
+    pairs = written(pairs, "pairs")
+    hot = _hot(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("c")), "b", s)
     left = sets.select(F.col("node").alias("a"), F.col("grams").alias("_a"))
-    right = sets.select(F.col("node").alias("b"), F.col("grams").alias("_b"))
-    both = pairs.join(left, "a").join(right, "b")
+    right = sets.select(F.col("node").alias("b"), F.col("grams").alias("_b")).join(pairs.select("b").distinct(), "b", "left_semi")
+    both = _met(pairs.join(left, "a"), right, "b", "a", hot)
     return both.where(_similar(s, F.size(F.array_intersect("_a", "_b")), F.size("_a"), F.size("_b"))).select("label_a", "label_b")
 
 
@@ -129,70 +150,60 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return written(labels.join(roots, labels["label"] == roots["u"], "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
 
 
-def _block_links(s: Settings):
-    """Links between nodes of different labels in a pair of blocks; one for each node and label at most."""
-    num, den = s.similarity
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        grams, labels = list(frame["grams"]), frame["label"].to_numpy()
-        codes = pd.factorize(frame["label"])[0]
-        side, size = frame["side"].to_numpy(), np.array([len(g) for g in grams])
-        out = []
-        rows = np.repeat(np.arange(len(grams)), size)
-        values = np.concatenate(grams) if len(grams) else np.zeros(0, np.int64)
-        order = np.argsort(values, kind="stable")
-        values, rows = values[order], rows[order]
-        diagonal = bool((side == 2).all())
-        for k in range(len(grams)):
-            if not diagonal and side[k] != 0:
-                continue
-            a, b = np.searchsorted(values, grams[k], "left"), np.searchsorted(values, grams[k], "right")
-            hit = b - a
-            flat = np.repeat(a - np.concatenate([[0], np.cumsum(hit)[:-1]]), hit) + np.arange(hit.sum())
-            common = np.bincount(rows[flat], minlength=len(grams))
-            near = np.flatnonzero((common * den >= (size + size[k] - common) * num) & (codes != codes[k]) & ((side != 0) | diagonal))
-            _, pick = np.unique(codes[near], return_index=True)
-            out += [(labels[k], labels[x]) for x in near[pick]]
-        return pd.DataFrame(out, columns=["label_a", "label_b"])
-
-    return run
-
-
 def _rest(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
-    """Links inside the buckets of ``members`` (bucket, node, n, label), found block by block."""
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
-    dealt = members.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("size") / s.block).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # a node meets every block once: pairs (i, j) with i <= j; side 0 is i, 1 is j, 2 both
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    met = dealt.select("bucket", "node", "label", "own", other).select("bucket", "node", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
-    return met.join(sets, "node").groupBy("bucket", "i", "j").applyInPandas(_block_links(s), "label_a binary, label_b binary")
+    """Links between all nodes of ``members`` (node, label): an exact join on the rarest shingles."""
+    num, den = s.similarity
+    known = written(members.select("node", "label").distinct(), "known")
+    grams = sets.join(known, "node").select("node", "label", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    grams = written(grams, "grams")
+    shared = written(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "shared")  # a shingle of one node links nothing
+    hot = _hot(shared, "gram", s)
+    common = _met(grams, shared, "gram", "node", hot)
+    # places in the order by rarity; shingles of one node come first and are not listed
+    listed = common.groupBy("node", "label", "n").agg(F.array_sort(F.collect_list(F.struct("c", "gram"))).alias("list"))
+    alone = F.col("n") - F.size("list")
+    prefix = F.col("n") - F.ceil(F.col("n") * num / den) + 1
+    placed = listed.select("node", "label", "n", alone.alias("alone"), F.posexplode(F.slice("list", F.lit(1), F.greatest(prefix - alone, F.lit(0)).cast("int"))).alias("at", "x"))
+    placed = written(placed.select(F.col("x.gram").alias("gram"), "node", "label", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("left")), "placed")
+    one, two = placed.alias("one"), placed.select(F.col("gram"), *[F.col(c).alias(f"{c}_b") for c in ("node", "label", "n", "left")])
+    sizes = placed.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    hot = _hot(sizes, "gram", s)
+    # what both have in common is at most what either has from their first common shingle on
+    most = F.least("left", "left_b")
+    fits = (F.col("label") != F.col("label_b")) & (F.col("node") < F.col("node_b")) & (most * (num + den) >= (F.col("n") + F.col("n_b")) * num)
+    pairs = _met(one, two, "gram", "node", hot).where(fits)
+    return _verified(pairs.select(F.col("node").alias("a"), F.col("node_b").alias("b"), F.col("label").alias("label_a"), F.col("label_b")).distinct(), sets, s)
 
 
 def _classes(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
     """(rows: doc_id, node; classes: node, first_id, label)."""
     bound_arrow_batches(docs.sparkSession)
-    rows = written(_sketches(docs, s), "rows")
-    nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("buckets").alias("buckets")), "nodes")
-    placed = nodes.select("node", "n", F.explode("buckets").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket")
-    members = written(placed.join(shared, "bucket"), "members")
-    wanted = members.select("node").distinct()
-    sets = written(_sets(docs, nodes.select("node", "first_id").join(wanted, "node", "left_semi"), s), "sets")
-    labels = written(wanted.select("node", F.col("node").alias("label")), "labels")
-    for turn in range(s.rounds):
-        labelled = members.join(labels, "node")
-        key = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("hub"), F.col("label").alias("label_b"), F.col("n").alias("n_b"))
-        hubs = labelled.groupBy("bucket").agg(F.min(key).alias("k"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket", "k.hub", "k.label_b", "k.n_b")
-        round_ = written(labelled.join(hubs, "bucket").where("node <> hub"), "round")  # the hub leaves; buckets of one label end
-        members = round_.select("bucket", "node", "n")
-        pairs = round_.where(F.col("label") != F.col("label_b")).where(_sizes_fit(s, F.col("n"), F.col("n_b")))
-        pairs = pairs.select(F.col("node").alias("a"), F.col("hub").alias("b"), F.col("label").alias("label_a"), "label_b").distinct()
-        labels = _merged(labels, _verified(pairs, sets, s))
-    labelled = members.join(labels, "node")
-    alive = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-    labels = _merged(labels, _rest(written(labelled.join(alive, "bucket"), "rest"), sets, s))
-    classes = nodes.select("node", "first_id").join(labels, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label"))
-    return rows.select("doc_id", "node"), written(classes, "classes")
+    with scratch():
+        rows = written(_sketches(docs, s), "rows")
+        nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("buckets").alias("buckets")), "nodes")
+        placed = nodes.select("node", "n", F.explode("buckets").alias("bucket"))
+        shared = written(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "buckets")
+        hot = _hot(shared, "bucket", s)
+        members = written(_met(placed, shared.select("bucket"), "bucket", "node", hot), "members")
+        wanted = members.select("node").distinct()
+        sets = written(_sets(docs, nodes.select("node", "first_id").join(wanted, "node", "left_semi"), s), "sets")
+        labels = written(wanted.select("node", F.col("node").alias("label")), "labels")
+        for turn in range(s.rounds):
+            labelled = written(members.join(labels, "node"), "labelled")
+            key = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("hub"), F.col("label").alias("label_b"), F.col("n").alias("n_b"))
+            hubs = labelled.groupBy("bucket").agg(F.min(key).alias("k"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket", "k.hub", "k.label_b", "k.n_b")
+            round_ = written(_met(labelled, hubs, "bucket", "node", hot).where("node <> hub"), "round")  # the hub leaves; buckets of one label end
+            members = round_.select("bucket", "node", "n")
+            pairs = round_.where(F.col("label") != F.col("label_b")).where(_sizes_fit(s, F.col("n"), F.col("n_b")))
+            pairs = pairs.select(F.col("node").alias("a"), F.col("hub").alias("b"), F.col("label").alias("label_a"), "label_b").distinct()
+            labels = _merged(labels, _verified(pairs, sets, s))
+        labelled = written(members.join(labels, "node"), "labelled")
+        alive = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
+        rest = written(_met(labelled, alive, "bucket", "node", hot).select("node", "label"), "rest")
+        if not rest.isEmpty():
+            labels = _merged(labels, _rest(rest, sets, s))
+        classes = nodes.select("node", "first_id").join(labels, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label"))
+        return written(rows.select("doc_id", "node"), "rows", keep=True), written(classes, "classes", keep=True)
 
 
 def _representatives(classes: DataFrame) -> DataFrame:
@@ -212,11 +223,33 @@ def deduplicated(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """One row of every class, with all columns."""
     rows, classes = _classes(docs, settings)
     chosen = _representatives(classes).select(F.col("representative").alias("_node"), F.col("class_id").alias("_id"))
-    kept = docs.withColumn("_own", node_of(F.col("text"))).join(chosen.hint("shuffle_hash"), (F.col("_own") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    own = docs.select("doc_id", node_of(F.col("text")).alias("node"), whole_row(docs).alias("row"))
+    kept = own.join(chosen.hint("shuffle_hash"), (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     if not rows.groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "_own"])  # rows that repeat an id with its text
-    return kept.drop("_own")
+        order = F.xxhash64(*[F.col("row").getField(x.name) for x in docs.schema.fields if not isinstance(x.dataType, T.MapType)])
+        kept = kept.groupBy("doc_id", "node").agg(F.min_by("row", order).alias("row"))  # rows that repeat an id with its text
+    return kept.select("row.*")
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def _sql(s: Settings = Settings()) -> str:
+    """Shingles of every text, an exact join of texts that share one, and the least doc_id that is reached over links."""
+    num, den = s.similarity
+    grams = " || chr(31) || ".join(f"ws[k + {k}]" for k in range(s.width))
+    return f"""
+    WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+    nodes AS (SELECT text, min(doc_id) AS id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM d GROUP BY text),
+    shingles AS (SELECT id, unnest(list_distinct(CASE WHEN len(ws) >= {s.width} THEN list_transform(range(1, len(ws) - {s.width - 2}), lambda k: {grams}) WHEN len(ws) > 0 THEN ['<' || array_to_string(ws, chr(31))] ELSE [] END)) AS g FROM nodes),
+    sized AS (SELECT id, g, count(*) OVER (PARTITION BY id) AS n FROM shingles),
+    common AS (SELECT a.id AS u, b.id AS v, count(*) AS c, any_value(a.n) AS n, any_value(b.n) AS m FROM sized a JOIN sized b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2),
+    links AS (SELECT u, v FROM common WHERE c * {den} >= (n + m - c) * {num}),
+    both_ways AS (SELECT u, v FROM links UNION SELECT v, u FROM links),
+    reached AS (SELECT id AS u, id AS v FROM nodes UNION SELECT r.u, e.v FROM reached r JOIN both_ways e ON r.v = e.u),
+    classes AS (SELECT u AS id, min(v) AS class_id FROM reached GROUP BY 1)
+    SELECT d.doc_id, class_id FROM d JOIN nodes USING (text) JOIN classes USING (id)"""
+
+
+OP3_SQL = _sql()
