@@ -108,12 +108,12 @@ def _sizes_fit(s: Settings, a: Column, b: Column) -> Column:
     return F.least(a, b) * den >= F.greatest(a, b) * num
 
 
-def _met(left: DataFrame, right: DataFrame, key: str, by: str, hot: DataFrame) -> DataFrame:
-    """``left`` joined with the rows of ``right``, one for each ``key``. ``hot`` (key, _salts): keys with many rows in ``left``, which are dealt to that many parts
-    by a hash of ``by``; its size decides whether Spark broadcasts it."""
+def _met(left: DataFrame, right: DataFrame, key: str, by: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """``left`` joined with the rows of ``right``, by a sort-merge join whatever the sizes. ``hot`` (key, _salts): keys with many rows in ``left``, which are dealt
+    to that many parts by a hash of ``by``, and met in each; Spark broadcasts this list where its size allows."""
     own = left.join(hot, key, "left").withColumn("_salt", F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(by), F.col("_salts")).cast("int"))).drop("_salts")
     met = right.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
-    return own.join(met, [key, "_salt"]).drop("_salt")
+    return own.join(met.hint("merge"), [key, "_salt"], how).drop("_salt")
 
 
 def _hot(sizes: DataFrame, key: str, s: Settings) -> DataFrame:
@@ -131,23 +131,28 @@ def _verified(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     return both.where(_similar(s, F.size(F.array_intersect("_a", "_b")), F.size("_a"), F.size("_b"))).select("label_a", "label_b")
 
 
-def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+def _merged(labels: DataFrame, links: DataFrame, s: Settings) -> DataFrame:
     """``labels`` (node, label) after merging linked labels: least-neighbour hooking and pointer jumping until nothing changes."""
     links = written(links.distinct(), "links")
     if links.isEmpty():
         return labels
+    count = F.count(F.lit(1)).alias("c")
     both = links.unionAll(links.select(F.col("label_b").alias("label_a"), F.col("label_a").alias("label_b")))
     edges = written(both.select(F.col("label_a").alias("u"), F.col("label_b").alias("v")).distinct(), "edges")
+    hubs = _hot(edges.groupBy("v").agg(count), "v", s)
     roots = written(edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("root")), "roots")
     while True:
-        neighbour = edges.join(roots.select(F.col("u").alias("v"), F.col("root").alias("r")), "v").groupBy("u").agg(F.min("r").alias("r"))
-        hooked = roots.join(neighbour, "u").select("u", F.least("root", "r").alias("next"), "root")
+        neighbour = _met(edges, roots.select(F.col("u").alias("v"), F.col("root").alias("r")), "v", "u", hubs).groupBy("u").agg(F.min("r").alias("r"))
+        hooked = written(roots.join(neighbour, "u").select("u", F.least("root", "r").alias("next"), "root"), "hooked")
         jump = hooked.select(F.col("u").alias("next"), F.col("next").alias("far"))
-        moved = written(hooked.join(jump, "next").select("u", F.least("next", "far").alias("root"), (F.least("next", "far") != F.col("root")).alias("changed")), "roots")
+        far = _met(hooked, jump, "next", "u", _hot(hooked.groupBy("next").agg(count), "next", s))
+        moved = written(far.select("u", F.least("next", "far").alias("root"), (F.least("next", "far") != F.col("root")).alias("changed")), "roots")
         roots = moved.select("u", "root")
         if moved.where("changed").isEmpty():
             break
-    return written(labels.join(roots, labels["label"] == roots["u"], "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
+    common = _hot(labels.groupBy("label").agg(count), "label", s)
+    renamed = _met(labels, roots.withColumnRenamed("u", "label"), "label", "node", common, "left")
+    return written(renamed.select("node", F.coalesce("root", "label").alias("label")), "labels")
 
 
 def _rest(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
@@ -196,12 +201,12 @@ def _classes(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
             members = round_.select("bucket", "node", "n")
             pairs = round_.where(F.col("label") != F.col("label_b")).where(_sizes_fit(s, F.col("n"), F.col("n_b")))
             pairs = pairs.select(F.col("node").alias("a"), F.col("hub").alias("b"), F.col("label").alias("label_a"), "label_b").distinct()
-            labels = _merged(labels, _verified(pairs, sets, s))
+            labels = _merged(labels, _verified(pairs, sets, s), s)
         labelled = written(members.join(labels, "node"), "labelled")
         alive = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
         rest = written(_met(labelled, alive, "bucket", "node", hot).select("node", "label"), "rest")
         if not rest.isEmpty():
-            labels = _merged(labels, _rest(rest, sets, s))
+            labels = _merged(labels, _rest(rest, sets, s), s)
         classes = nodes.select("node", "first_id").join(labels, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label"))
         return written(rows.select("doc_id", "node"), "rows", keep=True), written(classes, "classes", keep=True)
 

@@ -112,7 +112,7 @@ def copies(seed=5, groups=6, size=60):
     return texts
 
 
-@pytest.mark.parametrize("settings", [neardup.Settings(), neardup.Settings(rounds=1, block=16)])
+@pytest.mark.parametrize("settings", [neardup.Settings(), neardup.Settings(rounds=1, spread=4), neardup.Settings(rounds=0)])
 def test_classes_against_brute_force(spark, settings):
     texts = copies()
     got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs_of(spark, texts), settings).collect()}
