@@ -110,3 +110,35 @@ def enum_label(code: Column, labels: dict[int, str]) -> Column:
 def jitter(value: Column, salt: int = 0) -> Column:
     """A fixed pseudo-random number in [0, 1) for a key."""
     return F.xxhash64(value, F.lit(salt)).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
+
+
+def presence(*texts: Column) -> Column:
+    """A bit for each text that is not empty, the first one lowest."""
+    return flags(*[F.coalesce(t, F.lit("")) != "" for t in texts])
+
+
+#: Fixed value: the rank of a key that has none.
+NO_RANK = 0xFFFFFF
+
+
+def rank_or_none(rank: Column) -> Column:
+    """The rank that a left join found, or the sentinel."""
+    return F.coalesce(rank, F.lit(NO_RANK)).cast("int")
+
+
+def rank_set(ranks: Column, universe: int) -> Column:
+    """A sorted array of distinct ranks below ``universe`` as the smaller of a list (four bytes a rank) and a bitset (universe / 8 bytes, lowest bit first): struct
+    of encoding, count, ranks or bits."""
+    own, size = F.array_sort(F.array_distinct(ranks)), -(-universe // 8)
+    power = lambda k: F.element_at(F.array(*[F.lit(1 << b) for b in range(8)]), k.cast("int") + 1)
+    octet = lambda k: F.aggregate(F.filter(own, lambda r: F.floor(r / 8) == k), F.lit(0), lambda s, r: s + power(r % 8))
+    bits = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.lpad(F.hex(octet(k)), 2, "0")), ""))
+    sparse = F.size(own) * 4 <= size
+    return F.struct(F.when(sparse, "ranks").otherwise("bits").alias("encoding"), F.size(own).alias("count"), F.when(sparse, own).alias("ranks"), F.when(~sparse, bits).alias("bits"))
+
+
+def rank_members(encoded: Column) -> Column:
+    """The ranks of an encoded set, in order; the union of two sets is the set of both arrays."""
+    octets = F.transform(F.sequence(F.lit(0), F.octet_length(encoded["bits"]) - 1), lambda k: F.struct(k.alias("at"), F.conv(F.hex(F.substring(encoded["bits"], k + 1, F.lit(1))), 16, 10).cast("int").alias("octet")))
+    dense = F.flatten(F.transform(octets, lambda o: F.filter(F.array(*[F.when(F.shiftright(o["octet"], b).bitwiseAND(F.lit(1)) == 1, o["at"] * 8 + b) for b in range(8)]), lambda x: x.isNotNull())))
+    return F.when(encoded["encoding"] == "ranks", encoded["ranks"]).otherwise(dense)

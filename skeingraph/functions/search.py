@@ -39,11 +39,23 @@ def suggestion_tier(norm: Column, query: str) -> Column:
 
 
 def prefix_directory(rows: DataFrame, width: int) -> DataFrame:
-    """The best ``PREFIX_KEPT`` keys of each prefix of up to ``width`` characters, exact matches always among them."""
+    """The best ``PREFIX_KEPT`` keys of each prefix of up to ``width`` characters, exact matches always among them. The best ones come from a window whose rank is
+    bounded, so that a task keeps no more of a prefix; an exact match's own place is counted from the keys before it."""
     prefix = F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("norm"), F.lit(width))), lambda k: F.substring("norm", F.lit(1), k))).alias("prefix")
     pairs = rows.select("key", "norm", "rank", prefix).groupBy("prefix", "key").agg(F.min("rank").alias("rank"), F.max((F.col("norm") == F.col("prefix")).cast("int")).alias("exact"))
     place = F.row_number().over(Window.partitionBy("prefix").orderBy("rank", "key"))
-    return pairs.withColumn("place", place).where((F.col("place") <= PREFIX_KEPT) | (F.col("exact") == 1))
+    best = pairs.withColumn("place", place).where(F.col("place") <= PREFIX_KEPT)
+    exact = pairs.where("exact = 1").select("prefix", F.col("key").alias("own"), F.col("rank").alias("own_rank"))
+    ahead = pairs.join(exact, "prefix").where(F.struct("rank", "key") <= F.struct(F.col("own_rank").alias("rank"), F.col("own").alias("key")))
+    counted = ahead.groupBy("prefix", F.col("own").alias("key"), F.col("own_rank").alias("rank")).agg(F.count(F.lit(1)).cast("int").alias("place")).withColumn("exact", F.lit(1))
+    return best.unionByName(counted.where(F.col("place") > PREFIX_KEPT).select(*best.columns))
+
+
+def matched_field(query: str, fields: dict[str, Column], variants: dict[str, Column] | None = None) -> Column:
+    """The field whose own text has the query, the first in order; only if none has, the first of which a variant has it; else null."""
+    needle = F.lit(fold_literal(query))
+    hit = lambda text: F.coalesce(F.contains(fold(display_text(text)), needle), F.lit(False))
+    return F.coalesce(*[F.when(hit(c), F.lit(n)) for n, c in [*fields.items(), *(variants or {}).items()]])
 
 
 def postings(df: DataFrame, key: str, text: Column, width: int) -> DataFrame:

@@ -78,18 +78,24 @@ def _folding() -> tuple[str, str, list[tuple[str, str]]]:
 
 
 def fold(col: Column) -> Column:
-    """Trimmed and case folded for search."""
-    return F.trim(casefold(col))
+    """Trimmed of white space of any kind and case folded for search."""
+    space = r"[\p{IsWhite_Space}\x1c-\x1f]"
+    trimmed = lambda x: F.when(x.rlike(f"^{space}|{space}$"), F.regexp_replace(x, f"^{space}+|{space}+$", "")).otherwise(x)
+    return _let(casefold(col), trimmed)
 
 
 def casefold(col: Column) -> Column:
+    """Lower case alone folds most texts: ASCII, and Latin letters but for a few."""
     one, to, many = _folding()
     several = "[" + "".join(c for c, _ in many) + "]"
 
-    def full(x: Column) -> Column:
-        return _let(F.translate(F.lower(x), one, to), lambda low: F.when(low.rlike(several), _chain(low, many)).otherwise(low))
+    def full(low: Column) -> Column:
+        return _let(F.translate(low, one, to), lambda x: F.when(x.rlike(several), _chain(x, many)).otherwise(x))
 
-    return _let(col, lambda x: F.when(x.rlike(r"[^\x00-\x7f]"), full(x)).otherwise(F.lower(x)))
+    def folded(low: Column) -> Column:
+        return F.when(low.rlike(r"[^\x00-\xb4\xb6-\u0148\u014a-\u017e]"), full(low)).otherwise(F.replace(low, F.lit("ß"), F.lit("ss")))
+
+    return _let(F.lower(col), folded)
 
 
 def _chain(col: Column, many: list[tuple[str, str]]) -> Column:
@@ -117,22 +123,46 @@ def snippet(source: Column, start: Column, end: Column) -> Column:
     return F.concat(F.when(low > 0, "…").otherwise(""), clean, F.when(high < n, "…").otherwise(""))
 
 
+def highlight(source: Column, query: str, before: str = "<mark>", after: str = "</mark>") -> Column:
+    """The first hit between marks; a text whose folding has another length is left alone, as its places are not the folded ones."""
+    needle = fold_literal(query)
+    folded = casefold(source)
+    at = F.instr(folded, needle)
+    hit = F.substring(source, at, F.lit(len(needle)))
+    marked = F.concat(F.substring(source, F.lit(1), at - 1), F.lit(before), hit, F.lit(after), F.substring(source, at + len(needle), F.length(source)))
+    return F.when((at > 0) & (F.length(folded) == F.length(source)), marked).otherwise(source)
+
+
 def match_range(source: Column, query: str) -> Column:
     """Byte range [start, end) in ``source`` of the first hit of the folded query; null if there is none, or if it begins or ends inside the folding of one character."""
     needle = fold_literal(query)
-    at = F.instr(casefold(source), needle) - 1
-    start, end = _source_place(source, at), _source_place(source, at + len(needle))
-    same = casefold(F.substring(source, start + 1, end - start)) == needle
-    bytes_to = lambda k: F.octet_length(F.substring(source, F.lit(1), k))
-    return F.when(F.when(at >= 0, same).otherwise(F.lit(False)), F.struct(bytes_to(start).cast("long").alias("start"), bytes_to(end).cast("long").alias("end")))
-
-
-def _source_place(source: Column, at: Column, steps: int = 16) -> Column:
-    """How many source characters fold to the first ``at`` folded ones. Folding lengthens a text by what the characters before the place add, so the
-    place is a fixed point; each step brackets it closer. Texts of equal length need no step."""
-    longer = lambda k: F.length(casefold(F.substring(source, F.lit(1), k))) - k
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), at.cast("int"), lambda k, _: F.when(longer(k) == at - k, k).otherwise((at - longer(k)).cast("int")).cast("int"))
-    return F.when(F.length(casefold(source)) == F.length(source), at).otherwise(found)
+    bytes_to = lambda k: F.octet_length(F.substring(source, F.lit(1), k)).cast("long")
+
+    def checked(p: Column) -> Column:
+        same = casefold(F.substring(source, p["start"] + 1, p["end"] - p["start"])) == needle
+        return F.when(same, F.struct(bytes_to(p["start"]).alias("start"), bytes_to(p["end"]).alias("end")))
+
+    places = lambda at: F.struct(_source_place(source, at).alias("start"), _source_place(source, at + len(needle)).alias("end"))
+    return _let(F.instr(casefold(source), needle) - 1, lambda at: F.when(at >= 0, _let(places(at), checked)))
+
+
+@lru_cache(1)
+def _lengthened() -> str:
+    """The characters that fold to several, as a class of a pattern."""
+    return "".join(c for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x1F000)]) if len(c.casefold()) > 1)
+
+
+def _source_place(source: Column, at: Column) -> Column:
+    """How many source characters fold to the first ``at`` folded ones. Only the characters that fold to several part the two counts; the text is taken in pieces
+    that end with one. A place inside the folding of one character is given as some place after it."""
+    several = _lengthened()
+    pieces = F.regexp_extract_all(source, F.lit(f"[^{several}]*[{several}]"), F.lit(0))
+    sizes = F.transform(pieces, lambda x: F.struct(F.length(x).alias("n"), (F.length(x) - 1 + F.length(casefold(F.substring(x, -1, 1)))).alias("folded")))
+    on = lambda s, x: s["open"] & (s["folded"] + x["folded"] <= at)
+    step = lambda s, x: F.when(on(s, x), F.struct((s["place"] + x["n"]).alias("place"), (s["folded"] + x["folded"]).alias("folded"), F.lit(True).alias("open"))).otherwise(F.struct(s["place"].alias("place"), s["folded"].alias("folded"), F.lit(False).alias("open")))
+    start = F.struct(F.lit(0).alias("place"), F.lit(0).alias("folded"), F.lit(True).alias("open"))
+    found = F.aggregate(sizes, start, step, lambda s: s["place"] + (at - s["folded"]).cast("int"))
+    return F.when(source.rlike(f"[{several}]"), found).otherwise(at)
 
 
 def grams(col: Column, width: int) -> Column:

@@ -1,4 +1,4 @@
-"""Query documents to DataFrames: one function for each operator, nothing executed here but the path operator's loop."""
+"""Query documents to DataFrames: one function for each operator. Nothing is executed here but the path operator's loop."""
 
 from __future__ import annotations
 
@@ -17,7 +17,8 @@ from skeingraph.plans.typecheck import Col, Schema, check
 
 @dataclass
 class Relation:
-    """A DataFrame with its schema; ``order`` names hidden columns that give its row order."""
+    """A DataFrame with its schema; ``order`` names hidden columns that give its row order, ascending with nulls last; refs of facts by length first, so that
+    numbers count up."""
 
     df: DataFrame
     schema: Schema
@@ -76,6 +77,20 @@ class Compiler:
         wanted += [f"{f}__missing" for f in wanted if f"{f}__missing" in df.columns]
         return df.select(*[F.col(f).alias(part(binding, f)) for f in wanted])
 
+    def get(self, ref: str) -> DataFrame:
+        """The entity of a canonical reference with all its fields: one row, or none if there is no such entity."""
+        owner, _, number = ref.partition(":")
+        if owner not in self.catalog.owners or not number.isdigit() or str(int(number)) != number:
+            raise QueryError(f"{ref} is no entity reference")
+        return self.entities(owner).where(F.col("id") == int(number))
+
+    def candidates(self, owner: str, refs: DataFrame) -> DataFrame:
+        """The entities among ``refs`` (ref), in any order and each once however often it is asked for; refs of nothing are left out."""
+        return self.entities(owner).join(refs.select("ref"), "ref", "left_semi")
+
+    def scan_order(self, owner: str, binding: str) -> tuple[str, ...]:
+        return tuple(part(binding, f) for f in (*self.catalog.owner(owner).order, "id"))
+
     def facts(self, kind: str, binding: str) -> DataFrame:
         fact = self.catalog.fact(kind)
         wanted = ["ref", "multiplicity", *[f for f in sorted(self.fields.get(binding, set())) if f in fact.fields]]
@@ -94,7 +109,7 @@ class Compiler:
         return done[doc["root"]]
 
     def _scan(self, op: dict, done: dict) -> Relation:
-        return Relation(self.bound(op["owner"], op["binding"]), {}, [part(op["binding"], "id")])
+        return Relation(self.bound(op["owner"], op["binding"], self.catalog.owner(op["owner"]).order), {}, [*self.scan_order(op["owner"], op["binding"])])
 
     def _search_text(self, op: dict) -> str:
         needle = tx.fold_literal(op["text"]["value"])
@@ -108,9 +123,9 @@ class Compiler:
         hits = []
         for n in names:
             if owner.fields[n].type.endswith("[]"):
-                hits.append(F.exists(F.coalesce(n, F.array()), lambda a: F.contains(tx.fold(a), F.lit(needle))))
+                hits.append(F.exists(F.coalesce(n, F.array()), lambda a: F.contains(tx.casefold(a), F.lit(needle))))
             else:
-                hits.append(F.coalesce(F.contains(tx.fold(tx.display_text(F.col(n))), F.lit(needle)), F.lit(False)))
+                hits.append(F.coalesce(F.contains(tx.casefold(tx.display_text(F.col(n))), F.lit(needle)), F.lit(False)))
         df = self.entities(op["owner"]).where(reduce(lambda a, b: a | b, hits))
         wanted = ["ref", "id", *[f for f in sorted(self.fields.get(op["binding"], set()) - {"ref", "id"}) if f in df.columns]]
         order = [F.col(owner.rank or "id").alias("§o0"), F.col("id").alias("§o1")]
@@ -119,12 +134,12 @@ class Compiler:
     def _fullText(self, op: dict, done: dict) -> Relation:  # noqa: N802
         needle = self._search_text(op)
         if op["target"] == "entity":
-            df = self.bound(op["owner"], op["binding"], (op["field"],))
-            hit = F.contains(tx.fold(tx.display_text(named(part(op["binding"], op["field"])))), F.lit(needle))
-            return Relation(df.where(hit), {}, [part(op["binding"], "id")])
+            df = self.bound(op["owner"], op["binding"], (op["field"], *self.catalog.owner(op["owner"]).order))
+            hit = F.contains(tx.casefold(tx.display_text(named(part(op["binding"], op["field"])))), F.lit(needle))
+            return Relation(df.where(hit), {}, [*self.scan_order(op["owner"], op["binding"])])
         self.fields.setdefault(op["factBinding"], set()).add(op["field"])
         df = self.facts(op["factKind"], op["factBinding"])
-        df = df.where(F.contains(tx.fold(tx.display_text(named(part(op["factBinding"], op["field"])))), F.lit(needle)))
+        df = df.where(F.contains(tx.casefold(tx.display_text(named(part(op["factBinding"], op["field"])))), F.lit(needle)))
         return self._with_roles(df, op)
 
     def _factLookup(self, op: dict, done: dict) -> Relation:  # noqa: N802
@@ -220,13 +235,15 @@ class Compiler:
         if op["direction"] == "forward":
             # the anchor's own reference is read here, so that documents need not project it
             link = self.entities(op["referenceOwner"]).select(F.col("ref").alias("§from"), F.col(op["field"]).alias("§to"))
-            df = given.df.join(link, anchor == F.col("§from")).drop("§from")
+            df = given.df.join(link, anchor == F.col("§from"), "left")
+            lost = F.raise_error(F.concat(F.lit("followRef: there is no "), anchor)).cast("boolean")
+            df = df.where(F.when(anchor.isNotNull() & F.col("§from").isNull(), lost).otherwise(F.col("§to").isNotNull())).drop("§from")
             target = self.bound(f.type[7:], op["resultBinding"])
             df = df.join(target, F.col("§to") == named(part(op["resultBinding"], "ref"))).drop("§to")
             return Relation(df, {}, given.order)
-        child = self.bound(op["referenceOwner"], op["resultBinding"], (op["field"],))
+        child = self.bound(op["referenceOwner"], op["resultBinding"], (op["field"], *self.catalog.owner(op["referenceOwner"]).order))
         df = given.df.join(child, anchor == named(part(op["resultBinding"], op["field"])))
-        return Relation(df, {}, [*given.order, part(op["resultBinding"], "id")])
+        return Relation(df, {}, [*given.order, *self.scan_order(op["referenceOwner"], op["resultBinding"])])
 
     # grouping, sets, existence -----------------------------------------------------------------------------------
 
@@ -320,7 +337,9 @@ def _metric(m: dict, given: Relation) -> Column:
     if fn == "countDistinct":
         return F.count_distinct(v.column)
     if fn in ("sum", "avg"):
-        return (F.sum if fn == "sum" else F.avg)(v.column.cast("double"))
+        x = v.column.cast("double")
+        finite = F.when(x.isNull() | (F.abs(x) < float("inf")), x).otherwise(F.raise_error(F.lit(f"{fn}: a value is not finite")).cast("double"))
+        return (F.sum if fn == "sum" else F.avg)(finite)
     return (F.min if fn == "min" else F.max)(v.column)
 
 

@@ -47,7 +47,7 @@ def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
     labels = written(both.select(F.col("src").alias("node")).distinct().select("node", F.col("node").alias("community")), "labels")
     for turn in range(rounds):
         votes = both.join(labels.select(F.col("node").alias("dst"), "community"), "dst").groupBy("src", "community").agg(F.count(F.lit(1)).alias("n"))
-        best = votes.groupBy("src").agg(F.max_by("community", F.struct("n", -F.col("community") if dict(votes.dtypes)["community"] in ("bigint", "int") else F.lit(0))).alias("best"))
+        best = votes.groupBy("src").agg(F.min(F.struct((-F.col("n")).alias("n"), "community")).alias("b")).select("src", F.col("b.community").alias("best"))
         moves = F.col("best").isNotNull() if turn % 2 == 0 else F.col("best") < F.col("community")
         labels = written(labels.join(best, F.col("node") == F.col("src"), "left").select("node", F.when(moves, F.col("best")).otherwise(F.col("community")).alias("community")), "labels")
     return labels
@@ -101,3 +101,53 @@ def ranks(nodes: DataFrame, by: str, tie: str) -> DataFrame:
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     return ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1).join(F.broadcast(before), "_part").withColumn("rank", F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")
+
+
+def cell_ordinal(positions: DataFrame, side: float, *order: str) -> DataFrame:
+    """Adds the lattice cell (cx, cy) of ``side`` and the ``ordinal`` of a node among those of its cell."""
+    cells = positions.withColumns({f"c{a}": F.floor(F.col(a) / side).cast("long") for a in "xy"})
+    return cells.withColumn("ordinal", F.row_number().over(Window.partitionBy("cx", "cy").orderBy(*order)) - 1)
+
+
+#: Fixed value: the span that a layout is scaled to.
+SPAN = 1200.0
+
+
+def scaled(positions: DataFrame, span: float = SPAN) -> DataFrame:
+    """Positions (node, x, y, z) moved to their middle and scaled so that the widest axis spans ``span``; a layout of no extent is only moved."""
+    bounds = positions.agg(*[f(c).alias(f"{n}_{c}") for c in "xyz" for n, f in (("low", F.min), ("high", F.max))])
+    widest = F.greatest(*[F.col(f"high_{c}") - F.col(f"low_{c}") for c in "xyz"])
+    bounds = bounds.withColumn("factor", F.when(widest > 0, F.lit(span) / widest).otherwise(1.0))  # one row
+    middle = lambda c: (F.col(f"low_{c}") + F.col(f"high_{c}")) / 2
+    return positions.join(F.broadcast(bounds)).select("node", *[((F.col(c) - middle(c)) * F.col("factor")).alias(c) for c in "xyz"])
+
+
+def nearest(positions: DataFrame, point: tuple[float, float, float], radius: float, count: int) -> DataFrame:
+    """The ``count`` nodes nearest to a point, at most ``radius`` away; a box test on plain columns comes first, so that it reaches the scan."""
+    box = [F.col(c).between(p - radius, p + radius) for c, p in zip("xyz", point)]
+    distance = F.sqrt(sum(((F.col(c) - p) ** 2 for c, p in zip("xyz", point)), F.lit(0.0)))
+    return positions.where(box[0] & box[1] & box[2]).withColumn("distance", distance).where(F.col("distance") <= radius).orderBy("distance", "node").limit(count)
+
+
+def coarsened(supers: DataFrame, sizes: DataFrame, anchors: int = 64) -> DataFrame:
+    """community, anchor, distance: the largest communities are anchors, any other goes to the nearest over edges of length 1 / ln(1 + weight); the least anchor of
+    equally near ones, none if it is out of reach. supers: low, high, edges; sizes: community, size. Rounds of relaxation until nothing changes."""
+    both = supers.select(F.col("low").alias("a"), F.col("high").alias("b"), (1 / F.log1p(F.col("edges"))).alias("length"))
+    both = written(both.unionAll(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "length")), "lengths")
+    chosen = sizes.orderBy(F.desc("size"), "community").limit(anchors).select("community")
+    near = written(chosen.select("community", F.col("community").alias("anchor"), F.lit(0.0).alias("distance")), "near")
+    while True:
+        step = near.join(both, F.col("community") == F.col("a")).select(F.col("b").alias("community"), "anchor", (F.col("distance") + F.col("length")).alias("distance"))
+        best = near.unionByName(step).groupBy("community").agg(F.min(F.struct("distance", "anchor")).alias("m")).select("community", "m.anchor", "m.distance")
+        after = written(best, "near")
+        if after.exceptAll(near).isEmpty():
+            return sizes.select("community").join(after, "community", "left")
+        near = after
+
+
+def tag_bits(rows: DataFrame, most: int = 32) -> DataFrame:
+    """id, bits: a bit for each of the ``most`` frequent tags (of rows: id, tag, pos), numbered by falling frequency, then by first appearance."""
+    frequent = rows.groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first")).orderBy(F.desc("n"), "first").limit(most)
+    codes = frequent.withColumn("bit", F.row_number().over(Window.orderBy(F.desc("n"), "first")) - 1)  # at most ``most`` rows
+    coded = rows.join(F.broadcast(codes.select("tag", "bit")), "tag", "left")
+    return coded.groupBy("id").agg(F.coalesce(F.bit_or(F.when(F.col("bit").isNotNull(), F.expr("shiftleft(1L, bit)"))), F.lit(0).cast("long")).alias("bits"))

@@ -74,3 +74,14 @@ def neighbours(compiler, fact_kinds: list[str]) -> DataFrame:
                 if a != b:
                     parts.append(facts.select(F.col(a).alias("ref"), F.col(b).alias("other"), F.lit(kind).alias("kind"), F.col("ref").alias("fact_ref"), F.lit(a).alias("role"), F.lit(b).alias("other_role")))
     return reduce(DataFrame.unionByName, parts).where(named("ref").isNotNull() & named("other").isNotNull())
+
+
+def fan(around: DataFrame, heat: DataFrame, labels: dict[str, str] = {}, most: int | None = None) -> DataFrame:  # noqa: B006
+    """``neighbours`` with the label of each relation, its direction as seen from ``ref`` (out from the first of the two roles in order, else in), and the place of
+    each neighbour by rank (of ``heat``: ref, rank), kind and fact; only the first ``most`` of each entity if given."""
+    named_ = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in labels.items() for x in pair]), F.col("kind")), F.col("kind")) if labels else F.col("kind")
+    arrow = F.when(F.col("role") < F.col("other_role"), "out").otherwise("in")
+    ranked = around.join(heat.select(F.col("ref").alias("other"), "rank"), "other", "left")
+    place = F.row_number().over(Window.partitionBy("ref").orderBy(F.col("rank").asc_nulls_last(), "kind", "fact_ref", "role", "other"))
+    placed = ranked.select("ref", "other", named_.alias("label"), arrow.alias("direction"), (place - 1).alias("place"))
+    return placed if most is None else placed.where(F.col("place") < most)

@@ -12,6 +12,7 @@ from skeingraph.operators.expressions import canonical_text, missing_bit, named,
 from skeingraph.plans.catalog import Catalog, QueryError
 from skeingraph.plans.coverage import coverage
 from skeingraph.plans.normalize import MAX_PAGE, digest, folded
+from skeingraph.session import written
 
 
 def _public(rel: Relation, names: list[str]) -> list[Column]:
@@ -42,11 +43,18 @@ def _terms(order_by: list[dict], available: set[str]) -> list[Column]:
     return out
 
 
+def _placed(columns: list[tuple[str, bool]]) -> list[Column]:
+    """The order that a relation's rows have by themselves; columns: (name, whether by length first)."""
+    return [x.asc_nulls_last() for c, by_length in columns for x in ((F.length(named(c)), named(c)) if by_length else (named(c),))]
+
+
 @dataclass
 class Result:
-    """``df`` has the visible columns in the answer's order; a MISSING scalar is null with its ``§m§`` companion true."""
+    """``df`` has the visible columns, for joins and writes: in the answer's order where the document sorts or limits, else in any. ``ordered`` always has the
+    answer's order; pages and wire rows follow it. A MISSING scalar is null with its ``§m§`` companion true."""
 
     df: DataFrame
+    ordered: DataFrame
     columns: list[dict]
     digest: str
     coverage: list[str]
@@ -54,18 +62,35 @@ class Result:
     release: str
     relation: Relation
     stability: str = "exact"
+    _stored: tuple[DataFrame, list[tuple[int, int]]] | None = None
 
     @property
     def total_matches(self) -> int:
         """Capped by the limit, whatever the page."""
-        return self.df.count()
+        return sum(n for _, n in self._stored[1]) if self._stored else self.df.count()
+
+    def _pages(self) -> tuple[DataFrame, list[tuple[int, int]]]:
+        """The answer, computed once and written in order with a number for each row, and how many rows each written part has. Numbers grow with the place; parts
+        begin at multiples of 2^33."""
+        if self._stored is None:
+            plain = self.ordered.toDF(*[f"c{k}" for k in range(len(self.ordered.columns))])
+            stored = written(plain.withColumn("place", F.monotonically_increasing_id()), "answer", keep=True)
+            counts = stored.groupBy(F.shiftright("place", 33).alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each part
+            self._stored = stored, sorted((r["part"], r["n"]) for r in counts)
+        return self._stored
 
     def page(self, offset: int = 0, size: int = MAX_PAGE) -> dict:
         if not 1 <= size <= MAX_PAGE or offset < 0:
             raise QueryError(f"a page has 1 to {MAX_PAGE} rows from a non-negative offset")
-        total = self.total_matches
-        rows = self.df.offset(offset).limit(size).collect()
-        return {"rows": rows, "totalMatches": total, "visibleMatches": len(rows), "hasMore": offset + len(rows) < total, "digest": self.digest, "releaseId": self.release, "coverage": self.coverage_digest}
+        stored, parts = self._pages()
+        wanted, before = F.lit(False), 0
+        for part_, n in parts:  # the ranges of places that the page covers; the filter reaches the scan
+            low, high = max(offset - before, 0), min(offset + size - before, n)
+            if low < high:
+                wanted = wanted | F.col("place").between((part_ << 33) + low, (part_ << 33) + high - 1)
+            before += n
+        rows = stored.where(wanted).orderBy("place").drop("place").toDF(*self.ordered.columns).collect()
+        return {"rows": rows, "totalMatches": before, "visibleMatches": len(rows), "hasMore": offset + len(rows) < before, "digest": self.digest, "releaseId": self.release, "coverage": self.coverage_digest}
 
 
 def joined_pages(pages: list[dict]) -> list:
@@ -83,30 +108,34 @@ def run(spark: SparkSession, folder: str, catalog: Catalog, document: dict, valu
     hidden = [n for n, c in rel.schema.items() if c.hidden]
     order = [named(c).alias(f"§f{k}") for k, c in enumerate(rel.order)]
     kept = [f"§f{k}" for k in range(len(order))]
-    df = rel.df.select(*_public(rel, visible + hidden), *order)
-    ordered = bool(doc["orderBy"])
-    if doc["distinct"]:
-        keys = [c for c in df.columns if c not in kept and c not in hidden and c not in {missing_bit(h) for h in hidden}]
-        hidden = []
-        if kept and not ordered and doc["limit"] is not None:  # the first occurrence's place decides which rows a limit keeps
-            df = df.groupBy(*[named(k) for k in keys]).agg(F.min(F.struct(*kept)).alias("§first"))
-            kept = ["§first"]
-        else:
-            df, kept = df.select(*[named(k) for k in keys]).distinct(), []
-    available = set(df.columns)
-    if ordered:
-        terms = [*_terms(doc["orderBy"], available), _row_text(rel.schema, visible + hidden, available), *[F.col(k) for k in kept]]
-        df = df.orderBy(*terms)
-    elif doc["limit"] is not None and kept:
-        df = df.orderBy(*kept)
-    elif doc["limit"] is not None:
-        df = df.orderBy(_row_text(rel.schema, visible, available))
-    if doc["limit"] is not None:
-        df = df.limit(doc["limit"])
-    public = [c for n in visible for c in (n, missing_bit(n)) if c in available]
+    base = rel.df.select(*_public(rel, visible + hidden), *order)
+    by_length = [c.endswith("§ref") for c in rel.order]
+    terms_wanted, limit = bool(doc["orderBy"]), doc["limit"]
+    gone = {missing_bit(h) for h in hidden}
+
+    def shaped(sort: bool) -> DataFrame:
+        df, rows_by, shown = base, list(zip(kept, by_length)), visible + hidden
+        if doc["distinct"]:
+            keys, shown = [c for c in df.columns if c not in kept and c not in hidden and c not in gone], visible
+            if rows_by and not terms_wanted and sort:  # a row's place is that of its first occurrence
+                places = [F.struct(F.col(c).isNull().alias("none"), *([F.length(c).alias("length")] if n else []), F.col(c).alias("value")).alias(c) for c, n in rows_by]
+                df = df.groupBy(*[named(k) for k in keys]).agg(F.min(F.struct(*places)).alias("§first"))
+                rows_by = [("§first", False)]
+            else:
+                df, rows_by = df.select(*[named(k) for k in keys]).distinct(), []
+        available = set(df.columns)
+        if terms_wanted:
+            df = df.orderBy(*_terms(doc["orderBy"], available), _row_text(rel.schema, shown, available), *_placed(rows_by))
+        elif sort:
+            df = df.orderBy(*(_placed(rows_by) or [_row_text(rel.schema, shown, available)]))
+        df = df if limit is None else df.limit(limit)
+        return df.select(*[named(c) for n in visible for c in (n, missing_bit(n)) if c in available])
+
+    ordered = shaped(True)
+    df = ordered if terms_wanted or limit is not None else shaped(False)
     atoms, atoms_digest = coverage(document, catalog, values)
     columns = [{"name": n, "type": rel.schema[n].type, "semantic": rel.schema[n].semantic} for n in visible]
-    return Result(df.select(*[named(c) for c in public]), columns, digest(document, values, catalog), atoms, atoms_digest, release, rel)
+    return Result(df, ordered, columns, digest(document, values, catalog), atoms, atoms_digest, release, rel)
 
 
 def evidence(spark: SparkSession, folder: str, catalog: Catalog, document: dict, values: dict | None = None) -> DataFrame:
@@ -163,7 +192,7 @@ def wire_rows(result: Result) -> list[dict]:
     """Rows as JSON values: MISSING is tagged, so that it stays apart from null."""
     names = [c["name"] for c in result.columns]
     out = []
-    for row in result.df.collect():
+    for row in result.ordered.collect():
         plain = row.asDict(recursive=True)
         out.append({n: {"$skein": "missing"} if plain.get(missing_bit(n)) else plain[n] for n in names})
     return out

@@ -123,8 +123,9 @@ class Query:
     def follow(self, owner: str, reference: str, anchor: str, result: str, direction: str = "forward") -> Query:
         return self._then(kind="followRef", referenceOwner=owner, field=reference, anchorBinding=anchor, resultBinding=result, direction=direction)
 
-    def aggregate(self, by: dict[str, Any] | None = None, **metrics) -> Query:
-        """metrics: name=(function, value) or name="count"."""
+    def aggregate(self, by: dict[str, Any] | None = None, *unnamed, **metrics) -> Query:
+        """metrics: name=(function, value) or name="count"; those without a name are called by their function and field."""
+        metrics = {metric_name(m): m for m in unnamed} | metrics
         made = [{"name": n, "function": m} if isinstance(m, str) else {"name": n, "function": m[0], "value": expression(m[1])} for n, m in metrics.items()]
         return self._then(kind="aggregate", groupBy=[{"name": n, "value": expression(v)} for n, v in (by or {}).items()], metrics=made)
 
@@ -165,6 +166,15 @@ class Query:
         return {"schema": SCHEMA, "root": self.root, "parameters": parameters, "operators": self.operators, **self.options}
 
 
+def metric_name(metric: str | tuple[str, Any]) -> str:
+    """``function_field``, or the function where it has no field."""
+    if isinstance(metric, str):
+        return metric
+    e = expression(metric[1])
+    name = e.get("field") or e.get("name")
+    return f"{metric[0]}_{name}" if name else metric[0]
+
+
 def _renamed(op: dict, names: dict[str, str]) -> dict:
     op = dict(op)
     for key in ("input", "match"):

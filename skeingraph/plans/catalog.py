@@ -23,6 +23,7 @@ OPERATOR_SETS: dict[str, frozenset[str]] = {
     "tagList": frozenset({"contains", "isNull"}),
     "boolean": frozenset({"eq", "ne", "isNull"}),
 }
+#: What a field may be used for, and what a plain one is.
 CAPABILITIES = frozenset({"lookup", "fullText", "project", "filter", "sort", "group", "aggregate", "traverse", "evidence"})
 PLAIN = frozenset({"project", "filter", "sort", "group", "evidence"})
 
@@ -55,12 +56,14 @@ def reference(owner: str) -> Field:
 
 @dataclass(frozen=True)
 class Owner:
-    """``reader`` gives ``id`` (long) and a column for each field; ``rank`` orders lookups, least first (default: id)."""
+    """``reader`` gives ``id`` (long) and a column for each field; ``rank`` orders lookups, least first (default: id); ``order`` names the fields that rows are
+    scanned by before their id, nulls last."""
 
     fields: dict[str, Field]
     reader: Reader
     rank: str | None = None
     traversable: bool = True  # may be an end of a path
+    order: tuple[str, ...] = ()
 
     def field(self, name: str) -> Field:
         if name == "ref":
@@ -74,7 +77,7 @@ class Owner:
 
 @dataclass(frozen=True)
 class Fact:
-    """``reader`` gives canonical facts: ``ref`` (fact:N), ``multiplicity``, a ref column for each role, and the attributes."""
+    """``reader`` gives canonical facts: ``ref`` (``fact:`` and a number or a hash), ``multiplicity``, a ref column for each role, and the attributes."""
 
     roles: dict[str, str]
     reader: Reader

@@ -15,12 +15,15 @@ SHAPES = ("entity-list", "fact-list", "relation-group", "field-comparison", "pat
 MAX_ENCODED = 32_768
 
 
-def scoped_union(owners: dict[str, dict[str, str]]) -> Query:
-    """One list over several owners (owner -> output column -> field); columns that an owner lacks are null in its rows."""
+def scoped_union(owners: dict[str, dict[str, str]], sort: tuple[str, str, str] | None = None) -> Query:
+    """One list over several owners (owner -> output column -> field); columns that an owner lacks are null in its rows. ``sort``: (owner, field, direction) sorts by a
+    field of one owner, which is null, and last, for the others."""
     names = list(dict.fromkeys(n for fields in owners.values() for n in fields))
-    branches = [scan(owner, "x").project(entityType=literal(owner), entity="$x", **{n: f"$x.{fields[n]}" if n in fields else literal(None) for n in names}) for owner, fields in owners.items()]
-    columns = ["entityType", "entity", *names]
-    return branches[0].union(*branches[1:], columns=columns) if len(branches) > 1 else branches[0]
+    by = lambda owner: {"sortBy": f"$x.{sort[1]}" if owner == sort[0] else literal(None)} if sort else {}
+    branches = [scan(owner, "x").project(entityType=literal(owner), entity="$x", **{n: f"$x.{fields[n]}" if n in fields else literal(None) for n in names}, **by(owner)) for owner, fields in owners.items()]
+    columns = ["entityType", "entity", *names, *(["sortBy"] if sort else [])]
+    made = branches[0].union(*branches[1:], columns=columns) if len(branches) > 1 else branches[0]
+    return made.order(("sortBy", sort[2], "last")) if sort else made
 
 
 def comparison(fact: str, role: str, other: str, left: str, right: str, mode: str = "all") -> Query:
@@ -68,9 +71,23 @@ def shortest_path(catalog: Catalog, start: str, target: str, max_hops: int = 6,
     return values(["start", "target"], [[start, target]], types).path("$start", "$target", "path", walks, max_hops, max_paths).project(path="$path")
 
 
-def relation_options(catalog: Catalog, owner: str) -> list[tuple[str, str, str]]:
-    """Every (fact kind, role of the owner, other role)."""
-    return [(k, a, b) for k, f in catalog.facts.items() for a, o in f.roles.items() if o == owner for b in f.roles if b != a]
+def relation_options(catalog: Catalog, owner: str, enums: dict[str, dict[int, str]] | None = None) -> list[tuple]:
+    """Every (fact kind, role of the owner, other role). With ``enums`` (name -> code -> label) a kind with an enum field has an option for each label instead, with
+    the field and all codes of that label: (kind, role, other, field, label, codes)."""
+    plain = [(k, a, b) for k, f in catalog.facts.items() for a, o in f.roles.items() if o == owner for b in f.roles if b != a]
+    if enums is None:
+        return plain
+    out: list[tuple] = []
+    for kind, role, other in plain:
+        split = [(n, f.enum) for n, f in catalog.fact(kind).fields.items() if f.enum in enums]
+        if not split:
+            out.append((kind, role, other))
+        for name, enum in split:
+            by_label: dict[str, list[int]] = {}
+            for code, label in sorted(enums[enum].items()):
+                by_label.setdefault(label, []).append(code)
+            out += [(kind, role, other, name, label, tuple(codes)) for label, codes in by_label.items()]
+    return out
 
 
 @dataclass(frozen=True)

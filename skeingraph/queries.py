@@ -12,9 +12,9 @@ from skeingraph.functions import search as se
 from skeingraph.functions import text as tx
 from skeingraph.functions.canonical import adjacency, canonical, incidence
 from skeingraph.functions.fingerprint import fingerprint
-from skeingraph.operators import graph, ingest
+from skeingraph.operators import graph, ingest, verify
 from skeingraph.operators.compiler import Compiler
-from skeingraph.operators.paths import neighbours
+from skeingraph.operators.paths import fan, neighbours
 from skeingraph.operators.results import evidence, hydrated, result_entities, run
 from skeingraph.plans.builder import Query, all_of, any_of, compare, conditions, fact_lookup, fact_text, full_text, is_null, lookup, negate, one_of, scan, values
 from skeingraph.plans.coverage import coverage
@@ -138,10 +138,18 @@ def fact_ordinals(spark: SparkSession, folder: str) -> DataFrame:
     return canonical(CATALOG.facts["LOCATED"].reader(spark, folder).select("customer", "nation"), ["customer", "nation"], []).select("ref", "customer", "nation")
 
 
-@query("fact_lookup")
+_LOCATED = "SELECT concat('fact:', row_number() OVER (ORDER BY k) - 1) AS ref, customer, nation FROM (SELECT concat('customer:', c_custkey) AS customer, concat('nation:', c_nationkey) AS nation, concat('[\"customer:', c_custkey, '\",\"nation:', c_nationkey, '\"]') AS k FROM customer)"
+
+
+@query("fact_lookup", f"SELECT ref AS fact, customer, nation, c_name AS name FROM ({_LOCATED}) JOIN customer ON customer = concat('customer:', c_custkey) WHERE ref = 'fact:7'")
 def fact_lookup_query(spark: SparkSession, folder: str) -> DataFrame:
-    ref = CATALOG.facts["BOUGHT"].reader(spark, folder).agg(F.min("ref")).first()[0]
-    return ask(spark, folder, fact_lookup("BOUGHT", "f", ref, customer="c", part="p").project(fact="$f", customer="$c", part="$p", flag="$f.returnflag"))
+    """Facts with ordinal references: the eighth one in canonical order."""
+    from dataclasses import replace
+
+    located = CATALOG.facts["LOCATED"]
+    numbered = replace(CATALOG, facts=CATALOG.facts | {"LOCATED": replace(located, reader=lambda s, f: canonical(located.reader(s, f).select("customer", "nation"), ["customer", "nation"], []))})
+    q = fact_lookup("LOCATED", "f", "fact:7", customer="c", nation="n").project(fact="$f", customer="$c", nation="$n", name="$c.name")
+    return plain(run(spark, folder, numbered, q.document()).df)
 
 
 @query("fact_fulltext", f"SELECT concat('order:', l_orderkey) AS \"order\", concat('part:', l_partkey) AS part, concat('supplier:', l_suppkey) AS supplier, l_quantity AS quantity FROM {_LINES} WHERE contains(lower(l_returnflag || l_linestatus), 'ro')")
@@ -194,10 +202,20 @@ def fulltext_snippet(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select("doc_id", tx.snippet(F.col("text"), F.col("r.start"), F.col("r.end")).alias("snippet"))
 
 
-@query("display_text", "SELECT page_id, length(replace(replace(replace(replace(html, '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS n FROM pages WHERE NOT regexp_matches(html, '&#|&nbsp;|&apos;|&hellip;|&ndash;|&[lr]dquo;|&Eacute;|&amp;[a-zA-Z#]')")
+_NAMED = [("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", "chr(160)"), ("&apos;", "chr(39)"), ("&amp;", "&")]
+
+
+def _decoded_sql(column: str) -> str:
+    for name, value in _NAMED:
+        column = f"replace({column}, '{name}', {value if value.startswith('chr') else repr(value)})"
+    return column
+
+
+@query("display_text", f"SELECT page_id, length({_decoded_sql('html')}) AS n, sha256({_decoded_sql('html')}) AS digest FROM pages")
 def display_text_query(spark: SparkSession, folder: str) -> DataFrame:
-    pages = table(spark, folder, "pages").where("not regexp(html, '&#|&nbsp;|&apos;|&hellip;|&ndash;|&[lr]dquo;|&Eacute;|&amp;[a-zA-Z#]')")
-    return pages.select("page_id", F.length(tx.display_text(F.col("html"))).cast("long").alias("n"))
+    """Every page. The SQL decodes what the pages have, in one pass."""
+    shown = tx.display_text(F.col("html"))
+    return table(spark, folder, "pages").select("page_id", F.length(shown).cast("long").alias("n"), F.sha2(shown, 256).alias("digest"))
 
 
 @query("ngram_index_candidates", "SELECT p_partkey AS key FROM part WHERE contains(lower(p_name), 'widget')")
@@ -286,7 +304,17 @@ def giant_component(spark: SparkSession, folder: str) -> DataFrame:
     return graph.giant(graph.components(_nations(spark, folder)))
 
 
-@query("communities")
+def _communities_sql(rounds: int) -> str:
+    """Label propagation, a common table for each round."""
+    steps = ["e AS (SELECT concat('nation:', n_nationkey) AS a, concat('region:', n_regionkey) AS b FROM nation UNION SELECT concat('region:', n_regionkey), concat('nation:', n_nationkey) FROM nation)", "l0 AS (SELECT DISTINCT a AS node, a AS community FROM e)"]
+    for k in range(rounds):
+        best = f"SELECT a, arg_min(community, (-n, community)) AS best FROM (SELECT a, community, count(*) AS n FROM e JOIN l{k} ON b = node GROUP BY 1, 2) GROUP BY 1"
+        moves = "true" if k % 2 == 0 else "best < community"
+        steps.append(f"l{k + 1} AS (SELECT node, CASE WHEN best IS NOT NULL AND {moves} THEN best ELSE community END AS community FROM l{k} LEFT JOIN ({best}) ON a = node)")
+    return f"WITH {', '.join(steps)} SELECT node, community FROM l{rounds}"
+
+
+@query("communities", _communities_sql(3))
 def communities_query(spark: SparkSession, folder: str) -> DataFrame:
     return graph.communities(_nations(spark, folder), 3)
 
@@ -368,12 +396,11 @@ def array_sum_query(spark: SparkSession, folder: str) -> DataFrame:
     return flags.select(F.col("id").alias("part"), sc.array_sum(F.transform("flags", lambda t: t["count"])).alias("total"))
 
 
-@query("bitmask_tags", "SELECT l_partkey AS part, bit_or(CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 4 END) AS bits FROM lineitem GROUP BY 1")
+@query("bitmask_tags", "WITH t AS (SELECT l_returnflag AS tag, row_number() OVER (ORDER BY count(*) DESC, min(l_orderkey * 10 + l_linenumber)) - 1 AS bit FROM lineitem GROUP BY 1) SELECT l_partkey AS part, bit_or(1::BIGINT << bit::INT) AS bits FROM lineitem JOIN t ON tag = l_returnflag GROUP BY 1")
 def bitmask_tags(spark: SparkSession, folder: str) -> DataFrame:
-    """Bits by the tags' order of frequency would change with the data; the tags' own order is used."""
-    items = table(spark, folder, "lineitem")
-    bit = F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "N", 2).otherwise(4)
-    return items.groupBy(F.col("l_partkey").alias("part")).agg(F.bit_or(bit).alias("bits"))
+    """Bits by the tags' order of frequency, equal ones by first appearance."""
+    rows = table(spark, folder, "lineitem").select(F.col("l_partkey").alias("id"), F.col("l_returnflag").alias("tag"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"))
+    return graph.tag_bits(rows).select(F.col("id").alias("part"), "bits")
 
 
 @query("tag_frequency", "SELECT l_returnflag AS tag, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, tag LIMIT 32")
@@ -426,13 +453,14 @@ def _sample_document() -> dict:
     return scan("customer", "c").match("PLACED", "f", customer="c", order="o").filter(compare("gt", "$o.total", 400000)).project(customer="$c.name", order="$o", total="$o.total").document()
 
 
-@query("coverage_atoms")
+@query("coverage_atoms", "SELECT * FROM (VALUES ('entity:customer'), ('entity:order'), ('fact:PLACED'), ('field:customer.name'), ('field:order.total')) t(atom)")
 def coverage_atoms(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame([(a,) for a in coverage(_sample_document(), CATALOG)[0]], "atom string")
 
 
-@query("digest")
+@query("digest", "SELECT '15f542c4f8cb9b181cefad2ee477e8af1ecce2510a738f8dc044dde50ef6c6c9' AS digest")
 def digest_query(spark: SparkSession, folder: str) -> DataFrame:
+    """The digest of a document is the same wherever it is computed."""
     return spark.createDataFrame([(digest(_sample_document(), None, CATALOG),)], "digest string")
 
 
@@ -453,3 +481,165 @@ def result_entities_query(spark: SparkSession, folder: str) -> DataFrame:
 def hydrate(spark: SparkSession, folder: str) -> DataFrame:
     answer = ask(spark, folder, scan("customer", "c").filter(compare("gt", "$c.acctbal", 9000)).project(customer="$c"))
     return hydrated(answer, "customer", Compiler(spark, folder, CATALOG), {"customer": ["name", "segment"]})
+
+
+# order and pages -----------------------------------------------------------------------------------------------------
+
+
+def _paged(spark: SparkSession, folder: str, q: Query, pages: list[tuple[int, int]]) -> DataFrame:
+    """Pages of an answer, each row with its place."""
+    result = run(spark, folder, CATALOG, q.document())
+    rows = [(offset + k, *r) for offset, size in pages for k, r in enumerate(result.page(offset, size)["rows"])]
+    return spark.createDataFrame(rows, "place long, " + ", ".join(f"`{c['name']}` string" for c in result.columns))
+
+
+_EVENTS = "concat('event:', event_id) AS event, concat('customer:', user_id) AS customer"
+
+
+@query("page_scan_order", f"SELECT place, event, customer FROM (SELECT row_number() OVER (ORDER BY concat('customer:', user_id), event_type, value NULLS LAST, event_id) - 1 AS place, {_EVENTS} FROM events) WHERE place < 500 OR place BETWEEN 700 AND 1199")
+def page_scan_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages of an answer without orderBy follow the owner's scan order."""
+    return _paged(spark, folder, scan("event", "e").project(event="$e", customer="$e.customerRef"), [(0, 500), (700, 500)])
+
+
+@query("page_reverse_order", f"SELECT place, event, customer FROM (SELECT row_number() OVER (ORDER BY user_id, event_type, value NULLS LAST, event_id) - 1 AS place, {_EVENTS} FROM events JOIN customer ON user_id = c_custkey WHERE c_mktsegment = 'BUILDING') WHERE place < 400")
+def page_reverse_order(spark: SparkSession, folder: str) -> DataFrame:
+    """References followed backwards keep the outer order, then the children's scan order."""
+    q = scan("customer", "c").filter(compare("eq", "$c.segment", "BUILDING")).follow("event", "customerRef", "c", "e", "reverse").project(event="$e", customer="$c")
+    return _paged(spark, folder, q, [(0, 400)])
+
+
+asked("metric_names", lambda: scan("order", "o").aggregate({"status": "$o.status"}, "count", ("sum", "$o.total"), ("max", "$o.date")), "SELECT o_orderstatus AS status, count(*) AS count, round(sum(o_totalprice), 2) AS sum_total, max(strftime(o_orderdate, '%Y-%m-%d')) AS max_date FROM orders GROUP BY 1", sum_total=2)
+asked("set_scoped_sort", lambda: scoped_union({"supplier": {"name": "name"}, "customer": {"name": "name"}}, ("customer", "acctbal", "desc")).limit(25), "SELECT 'customer' AS \"entityType\", concat('customer:', c_custkey) AS entity, c_name AS name, c_acctbal AS \"sortBy\" FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 25")
+
+
+# points, candidates, indexes -----------------------------------------------------------------------------------------
+
+
+@query("entity_get", "SELECT concat('customer:', c_custkey) AS ref, c_name AS name FROM customer WHERE c_custkey = 7")
+def entity_get(spark: SparkSession, folder: str) -> DataFrame:
+    return Compiler(spark, folder, CATALOG).get("customer:7").select("ref", "name")
+
+
+@query("candidate_refs", "SELECT concat('customer:', c_custkey) AS ref, c_name AS name FROM customer WHERE c_custkey IN (SELECT user_id FROM events WHERE event_type = 'click')")
+def candidate_refs(spark: SparkSession, folder: str) -> DataFrame:
+    refs = table(spark, folder, "events").where("event_type = 'click'").select(F.concat(F.lit("customer:"), "user_id").alias("ref"))
+    return Compiler(spark, folder, CATALOG).candidates("customer", refs).select("ref", "name")
+
+
+@query("rank_lookup", "SELECT c_custkey AS id, coalesce(rank, 16777215)::INT AS rank FROM customer LEFT JOIN (SELECT user_id, row_number() OVER (ORDER BY count(*) DESC, user_id) - 1 AS rank FROM events GROUP BY 1) ON user_id = c_custkey")
+def rank_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """Keys to ranks, those without one to the sentinel."""
+    busy = table(spark, folder, "events").groupBy(F.col("user_id").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    ranked = graph.ranks(busy, "n", "key").select("key", "rank")
+    return table(spark, folder, "customer").join(ranked, F.col("c_custkey") == F.col("key"), "left").select(F.col("c_custkey").alias("id"), sc.rank_or_none(F.col("rank")).alias("rank"))
+
+
+@query("unique_index", "SELECT event_id AS id, user_id AS customer FROM events")
+def unique_index_query(spark: SparkSession, folder: str) -> DataFrame:
+    return verify.unique_index(table(spark, folder, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("customer")), "id", "customer")
+
+
+@query("presence_bits", "SELECT doc_id, (CASE WHEN coalesce(text, '') <> '' THEN 1 ELSE 0 END + CASE WHEN coalesce(lang, '') <> '' THEN 2 ELSE 0 END + CASE WHEN coalesce(source, '') <> '' THEN 4 ELSE 0 END)::INT AS bits FROM documents")
+def presence_bits(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select("doc_id", sc.presence(F.col("text"), F.col("lang"), F.col("source")).alias("bits"))
+
+
+@query("rank_sets", "SELECT n_regionkey AS region, CASE WHEN count(*) * 4 <= 4 THEN 'ranks' ELSE 'bits' END AS encoding, count(*)::INT AS count, array_to_string(list_sort(list(n_nationkey)), ',') AS members FROM nation GROUP BY 1")
+def rank_sets(spark: SparkSession, folder: str) -> DataFrame:
+    """Sets of ranks as the smaller of a list and a bitset, read back."""
+    sets = table(spark, folder, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(F.collect_list("n_nationkey").alias("keys")).withColumn("s", sc.rank_set(F.col("keys"), 32))
+    return sets.select("region", "s.encoding", "s.count", F.array_join(sc.rank_members(F.col("s")).cast("array<string>"), ",").alias("members"))
+
+
+@query("highlight", "SELECT p_partkey AS id, regexp_replace(p_name, '(?i)(gear)', '<mark>\\1</mark>') AS shown FROM part")
+def highlight_query(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "part").select(F.col("p_partkey").alias("id"), tx.highlight(F.col("p_name"), "GEAR").alias("shown"))
+
+
+@query("lookup_field", "SELECT p_partkey AS id, CASE WHEN contains(lower(p_name), 'small') THEN 'name' WHEN contains(lower(p_brand), 'small') THEN 'brand' WHEN contains(lower(p_type), 'small') THEN 'kind' END AS field FROM part")
+def lookup_field(spark: SparkSession, folder: str) -> DataFrame:
+    """Which field a lookup matched: a direct one first, a variant only where none does."""
+    found = se.matched_field("Small", {"name": F.col("p_name"), "brand": F.col("p_brand")}, {"kind": F.col("p_type")})
+    return table(spark, folder, "part").select(F.col("p_partkey").alias("id"), found.alias("field"))
+
+
+# neighbourhoods and layouts ------------------------------------------------------------------------------------------
+
+
+@query("neighbor_fan", "SELECT concat('nation:', s_nationkey) AS ref, concat('supplier:', s_suppkey) AS other, 'based in' AS label, 'out' AS direction, place FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) - 1 AS place FROM supplier) WHERE place < 5 UNION ALL SELECT concat('supplier:', s_suppkey), concat('nation:', s_nationkey), 'based in', 'in', 0 FROM supplier")
+def neighbor_fan(spark: SparkSession, folder: str) -> DataFrame:
+    """The first five neighbours of each entity with label, direction and place."""
+    heat = table(spark, folder, "supplier").select(F.concat(F.lit("supplier:"), "s_suppkey").alias("ref"), F.struct("s_acctbal", "s_suppkey").alias("rank"))
+    return fan(neighbours(Compiler(spark, folder, CATALOG), ["BASED"]), heat, {"BASED": "based in"}, 5).withColumn("place", F.col("place").cast("long"))
+
+
+@query("cell_ordinal", "SELECT c_custkey AS node, (row_number() OVER (PARTITION BY floor(c_acctbal / 500), floor(c_nationkey / 2) ORDER BY c_custkey) - 1)::INT AS ordinal FROM customer")
+def cell_ordinal_query(spark: SparkSession, folder: str) -> DataFrame:
+    nodes = table(spark, folder, "customer").select(F.col("c_custkey").alias("node"), (F.col("c_acctbal") / 250).alias("x"), F.col("c_nationkey").cast("double").alias("y"))
+    return graph.cell_ordinal(nodes, 2.0, "node").select("node", "ordinal")
+
+
+def _customers(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "customer").select(F.col("c_custkey").alias("node"), F.col("c_acctbal").alias("x"), F.col("c_custkey").cast("double").alias("y"), F.col("c_nationkey").cast("double").alias("z"))
+
+
+_AXES = {"x": "c_acctbal", "y": "c_custkey", "z": "c_nationkey"}
+
+
+@query("layout_scale", "WITH b AS (SELECT 1200.0 / greatest(max(c_acctbal) - min(c_acctbal), max(c_custkey) - min(c_custkey), max(c_nationkey) - min(c_nationkey)) AS f, " + ", ".join(f"(min({c}) + max({c})) / 2.0 AS m{a}" for a, c in _AXES.items()) + " FROM customer) SELECT c_custkey AS node, " + ", ".join(f"round(({c} - m{a}) * f, 6) AS {a}" for a, c in _AXES.items()) + " FROM customer, b")
+def layout_scale(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.scaled(_customers(spark, folder)).select("node", *[F.round(c, 6).alias(c) for c in "xyz"])
+
+
+@query("nearest_nodes", "SELECT c_custkey AS node, round(sqrt((c_acctbal - 4000) ** 2 + (c_custkey - 60) ** 2 + (c_nationkey - 10) ** 2), 6) AS distance FROM customer WHERE sqrt((c_acctbal - 4000) ** 2 + (c_custkey - 60) ** 2 + (c_nationkey - 10) ** 2) <= 1500 ORDER BY 2, 1 LIMIT 10")
+def nearest_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.nearest(_customers(spark, folder), (4000.0, 60.0, 10.0), 1500.0, 10).select("node", F.round("distance", 6).alias("distance"))
+
+
+def _coarse_sql(anchors: int, rounds: int) -> str:
+    edges = ORACLES["supergraph"]
+    steps = [f"g AS ({edges})", "h AS (SELECT low AS a, high AS b, 1 / ln(1 + edges) AS w FROM g UNION ALL SELECT high, low, 1 / ln(1 + edges) FROM g)", "z AS (SELECT c_nationkey::BIGINT AS community, count(*) AS size FROM customer GROUP BY 1)", f"t0 AS (SELECT community, community AS anchor, 0.0::DOUBLE AS distance FROM (SELECT * FROM z ORDER BY size DESC, community LIMIT {anchors}))"]
+    for k in range(rounds):
+        steps.append(f"t{k + 1} AS (SELECT community, arg_min(anchor, (distance, anchor)) AS anchor, min(distance) AS distance FROM (SELECT * FROM t{k} UNION ALL SELECT b, anchor, distance + w FROM t{k} JOIN h ON community = a) GROUP BY 1)")
+    return f"WITH {', '.join(steps)} SELECT z.community, anchor, round(distance, 9) AS distance FROM z LEFT JOIN t{rounds} USING (community)"
+
+
+@query("coarsening", _coarse_sql(5, 8))
+def coarsening(spark: SparkSession, folder: str) -> DataFrame:
+    sizes = table(spark, folder, "customer").groupBy(F.col("c_nationkey").cast("long").alias("community")).agg(F.count(F.lit(1)).alias("size"))
+    return graph.coarsened(supergraph_query(spark, folder), sizes, 5).withColumn("distance", F.round("distance", 9))
+
+
+# verification --------------------------------------------------------------------------------------------------------
+
+
+@query("verify_tables", """SELECT 'orders: unique' AS "check", (SELECT count(*) FROM (SELECT o_orderkey FROM orders GROUP BY 1 HAVING count(*) > 1)) AS failures
+    UNION ALL SELECT 'orders: customer', (SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer))
+    UNION ALL SELECT 'line items: price', (SELECT count(*) FROM lineitem WHERE NOT (l_extendedprice > 50000))
+    UNION ALL SELECT 'line items: complete', (SELECT count(*) FROM lineitem WHERE l_orderkey IS NULL OR l_partkey IS NULL)
+    UNION ALL SELECT 'customers and suppliers', (SELECT abs((SELECT count(*) FROM customer) - (SELECT count(*) FROM supplier)))
+    UNION ALL SELECT 'orders: status', (SELECT count(DISTINCT o_orderstatus) FROM orders WHERE o_orderstatus NOT IN ('F', 'O'))""")
+def verify_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """Keys, references, conditions and codes of the tables, some of which are not met."""
+    read = lambda name: table(spark, folder, name)
+    labels = spark.createDataFrame(list(STATUSES.items()), "code string, label string")
+    return verify.report(
+        verify.unique("orders: unique", read("orders"), "o_orderkey"),
+        verify.refers("orders: customer", read("orders"), "o_custkey", read("customer"), "c_custkey"),
+        verify.holds("line items: price", read("lineitem"), F.col("l_extendedprice") > 50000),
+        verify.present("line items: complete", read("lineitem"), "l_orderkey", "l_partkey"),
+        verify.same_count("customers and suppliers", read("customer"), read("supplier")),
+        verify.decoded("orders: status", read("orders"), "o_orderstatus", labels),
+    )
+
+
+@query("two_hops", "WITH e AS (SELECT DISTINCT l_suppkey AS who, l_partkey AS what FROM lineitem) SELECT a.who AS \"from\", b.who, count(*) AS shared FROM e a JOIN e b USING (what) WHERE a.who = 3 AND b.who <> 3 GROUP BY 1, 2")
+def two_hops_query(spark: SparkSession, folder: str) -> DataFrame:
+    edges = table(spark, folder, "lineitem").select(F.col("l_suppkey").alias("who"), F.col("l_partkey").alias("what"))
+    return verify.two_hops(edges, F.col("who") == 3)
+
+
+def flagship(spark: SparkSession, folder: str) -> DataFrame:
+    """Line items that came back to solvent suppliers: a ternary fact match with projection."""
+    return ask(spark, folder, scan("supplier", "s").filter(compare("gte", "$s.acctbal", 0)).match("LINE_ITEM", "l", supplier="s", order="o", part="p").filter(compare("eq", "$l.returnflag", "R")).project(supplier="$s", order="$o", part="$p", brand="$p.brand", quantity="$l.quantity"))

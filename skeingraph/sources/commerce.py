@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skeingraph.functions.canonical import canonical, hashed
+from skeingraph.functions.canonical import hashed
 from skeingraph.plans.catalog import Catalog, Fact, Field, Owner, long_text, number, reference, text
 from skeingraph.sources.tables import table
 
@@ -44,7 +44,7 @@ def _pairs(name: str, key: str, role: str, other_key: str, other_role: str):
 def _bought(spark, folder) -> DataFrame:
     items, orders = table(spark, folder, "lineitem"), table(spark, folder, "orders")
     rows = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(_ref("customer", "o_custkey").alias("customer"), _ref("part", "l_partkey").alias("part"), F.col("l_returnflag").alias("returnflag"))
-    return canonical(rows, ["customer", "part"], ["returnflag"])
+    return hashed(rows, ["customer", "part"], ["returnflag"])
 
 
 def _supplied(spark, folder) -> DataFrame:
@@ -76,7 +76,7 @@ CATALOG = Catalog(
         "supplier": Owner({"name": text("lookup"), "nationRef": reference("nation"), "acctbal": number(), "brands": Field("string[]", "list")}, _suppliers),
         "part": Owner({"name": text("lookup", "fullText"), "brand": text(), "kind": text(), "size": number("integer"), "price": number(), "flags": Field("tag[]", "tagList")}, _parts),
         "order": Owner({"customerRef": reference("customer"), "status": text(enum="status"), "openStatus": text(), "total": number(), "date": Field("string", "ordered"), "priority": text(enum="priority")}, _reader("orders", "o_orderkey", customerRef=_to("customer", "o_custkey"), status="o_orderstatus", openStatus="nullif(o_orderstatus, 'F')", total="o_totalprice", date="date_format(o_orderdate, 'yyyy-MM-dd')", priority="o_orderpriority")),
-        "event": Owner({"customerRef": reference("customer"), "kind": text(), "value": number()}, _reader("events", "event_id", customerRef=_to("customer", "user_id"), kind="event_type", value="value"), traversable=False),
+        "event": Owner({"customerRef": reference("customer"), "kind": text(), "value": number()}, _reader("events", "event_id", customerRef=_to("customer", "user_id"), kind="event_type", value="value"), traversable=False, order=("customerRef", "kind", "value")),
         "document": Owner({"text": long_text(), "lang": text(), "source": text(), "length": number("integer")}, _reader("documents", "doc_id", text="text", lang="lang", source="source", length="n_chars")),
         "page": Owner({"url": text("lookup"), "html": long_text()}, _reader("pages", "page_id", url="url", html="html")),
     },
