@@ -189,7 +189,8 @@ class Compiler:
 
     def _project(self, op: dict, done: dict) -> Relation:
         given = done[op["input"]]
-        out = [named(c).alias(f"§k{k}") for k, c in enumerate(given.order)]
+        order = [f"§§k{k}" + ("§ref" if c.endswith("§ref") else "") for k, c in enumerate(given.order)]
+        out = [named(c).alias(n) for c, n in zip(given.order, order)]
         for c in op["columns"]:
             e = c["value"]
             source = given.schema[e["name"]] if e["kind"] == "column" else None
@@ -200,7 +201,7 @@ class Compiler:
             out.append(v.column.alias(c["name"]))
             if v.missing is not None:
                 out.append(v.missing.alias(missing_bit(c["name"])))
-        return Relation(given.df.select(*out), {}, [f"§k{k}" for k in range(len(given.order))])
+        return Relation(given.df.select(*out), {}, order)
 
     def _matchFact(self, op: dict, done: dict) -> Relation:  # noqa: N802
         given, fact = done[op["input"]], self.catalog.fact(op["factKind"])
@@ -236,8 +237,9 @@ class Compiler:
             # the anchor's own reference is read here, so that documents need not project it
             link = self.entities(op["referenceOwner"]).select(F.col("ref").alias("§from"), F.col(op["field"]).alias("§to"))
             df = given.df.join(link, anchor == F.col("§from"), "left")
-            lost = F.raise_error(F.concat(F.lit("followRef: there is no "), anchor)).cast("boolean")
-            df = df.where(F.when(anchor.isNotNull() & F.col("§from").isNull(), lost).otherwise(F.col("§to").isNotNull())).drop("§from")
+            # the error is in the value that is joined on: a filter beside it would let the outer join become an inner one
+            lost = F.raise_error(F.concat(F.lit("followRef: there is no "), anchor)).cast("string")
+            df = df.withColumn("§to", F.when(anchor.isNotNull() & F.col("§from").isNull(), lost).otherwise(F.col("§to"))).drop("§from")
             target = self.bound(f.type[7:], op["resultBinding"])
             df = df.join(target, F.col("§to") == named(part(op["resultBinding"], "ref"))).drop("§to")
             return Relation(df, {}, given.order)
