@@ -16,8 +16,10 @@ unsettled.
 
 Buckets, hubs and shingles with more than ``spread`` rows are dealt to several tasks, by a hash of the node, and what
 these meet is repeated for each; shingle arrays move only for pairs that are compared, never for whole buckets. Labels
-merge by joins whose large side AQE may split. Every round's tables are written to the shared folder, which also cuts
-lineage, and go when the operator has its classes.
+merge by joins whose large side AQE may split. Before texts, buckets or shingle arrays are shuffled for a join, a bitmap
+of the hashes of the keys that they may meet, of 8 MiB at most, drops nearly all rows that would meet none; the join
+itself still decides, so that a bitmap that is too full only costs shuffle. Every round's tables are written to the
+shared folder, which also cuts lineage, and go when the operator has its classes.
 
 Defined cases: a null text is empty; an empty text or one without a word is linked to nothing, but equal ones are one
 class; a text of fewer than five words has one shingle of all its words; a class is named by its least doc_id (null
@@ -53,6 +55,7 @@ class Settings:
     rounds: int = 4
     spread: int = 512  # rows of one key that a task joins
     together: int = 1 << 20  # bytes of text that are sketched at once
+    bits: int = 1 << 26  # of a bitmap of keys, at most
 
 
 def node_of(text: Column) -> Column:
@@ -83,8 +86,20 @@ def _sketches(docs: DataFrame, s: Settings) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node binary, n int, buckets array<long>")
 
 
+def _likely(rows: DataFrame, of: list[str], keys: DataFrame, s: Settings) -> DataFrame:
+    """``rows`` without most of those whose columns ``of`` are no row of ``keys`` (as many columns, read from a table): none that is one is lost. A bit is set for
+    the hash of each key, about 64 bits a key up to ``bits``; the bitmap is broadcast in pieces of 4 KiB."""
+    width = max(1 << 15, min(s.bits, 1 << (64 * keys.count()).bit_length()))
+    place = lambda columns: F.pmod(F.xxhash64(*columns), F.lit(width))
+    at = keys.select(place(keys.columns).alias("_at")).distinct()
+    pieces = at.groupBy(F.shiftright("_at", 15).alias("_piece")).agg(F.bitmap_construct_agg(F.col("_at").bitwiseAND(32767)).alias("_bits"))
+    met = rows.withColumn("_at", place(of)).join(F.broadcast(pieces), F.shiftright("_at", 15) == F.col("_piece"))
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast((_at & 32767) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return met.where(byte.bitwiseAND(F.expr("shiftleft(1, cast(_at & 7 as int))")) != 0).select(*rows.columns)
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
-    """node and its sorted shingle hashes, of the nodes in ``wanted`` (node, first_id), each read from one row."""
+    """node and its sorted shingle hashes, of the nodes in ``wanted`` (node, first_id; read from a table), each read from one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,10 +107,12 @@ def _sets(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
             for a, b in runs([len(t) for t in texts], s.together):
                 yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(shingle_sets(texts[a:b], s.width), pa.list_(pa.int64()))], names=["node", "grams"])
 
-    rows = docs.select("doc_id", "text", node_of(F.col("text")).alias("node"))
-    own = wanted.withColumnRenamed("node", "_node").hint("shuffle_hash")
-    found = rows.join(own, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
-    return found.select("node", "text").mapInArrow(run, "node binary, grams array<long>").groupBy("node").agg(F.first("grams").alias("grams"))
+    # ids by their hashes: rows of one node have one text, so that it does not matter which of them is read
+    rows = docs.select("text", node_of(F.col("text")).alias("node"), F.xxhash64("doc_id").alias("id"))
+    own = wanted.select("node", F.xxhash64("first_id").alias("id"))
+    found = _likely(rows, ["node", "id"], own, s).join(own.hint("shuffle_hash"), ["node", "id"])  # Spark would move a semi join before the bitmap
+    once = found.groupBy("node", "id").agg(F.first("text").alias("text"))  # dealt by these columns already; rows may repeat an id with its text
+    return once.select("node", "text").mapInArrow(run, "node binary, grams array<long>")
 
 
 def _similar(s: Settings, common: Column, a: Column, b: Column) -> Column:
@@ -125,8 +142,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     """Those of (a, b, label_a, label_b) that are similar, as links between labels; ``b`` may be in many pairs."""
     pairs = written(pairs, "pairs")
     hot = _hot(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("c")), "b", s)
-    left = sets.select(F.col("node").alias("a"), F.col("grams").alias("_a"))
-    right = sets.select(F.col("node").alias("b"), F.col("grams").alias("_b")).join(pairs.select("b").distinct(), "b", "left_semi")
+    left, right = (_likely(sets.select(F.col("node").alias(x), F.col("grams").alias(f"_{x}")), [x], pairs.select(x), s) for x in "ab")
     both = _met(pairs.join(left, "a"), right, "b", "a", hot)
     return both.where(_similar(s, F.size(F.array_intersect("_a", "_b")), F.size("_a"), F.size("_b"))).select("label_a", "label_b")
 
@@ -189,9 +205,9 @@ def _classes(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
         placed = nodes.select("node", "n", F.explode("buckets").alias("bucket"))
         shared = written(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "buckets")
         hot = _hot(shared, "bucket", s)
-        members = written(_met(placed, shared.select("bucket"), "bucket", "node", hot), "members")
-        wanted = members.select("node").distinct()
-        sets = written(_sets(docs, nodes.select("node", "first_id").join(wanted, "node", "left_semi"), s), "sets")
+        members = written(_met(_likely(placed, ["bucket"], shared.select("bucket"), s), shared.select("bucket"), "bucket", "node", hot), "members")
+        wanted = written(nodes.select("node", "first_id").join(members.select("node").distinct(), "node", "left_semi"), "wanted")
+        sets = written(_sets(docs, wanted, s), "sets")
         labels = written(wanted.select("node", F.col("node").alias("label")), "labels")
         for turn in range(s.rounds):
             labelled = written(members.join(labels, "node"), "labelled")

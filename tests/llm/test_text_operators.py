@@ -146,6 +146,36 @@ def test_classes_against_brute_force(spark, settings):
     assert [got[k] for k in range(len(texts))] == brute_classes(texts)
 
 
+def test_only_texts_of_candidates_are_shuffled(spark):
+    context = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        context.listenerBus().waitUntilEmpty()
+        time.sleep(0.5)  # the store takes in what tasks wrote every 0.1 s
+        found = context.statusStore().executorList(False)
+        return sum(found.apply(k).totalShuffleWrite() for k in range(found.size()))
+
+    r = random.Random(9)
+    texts = [" ".join(f"{r.getrandbits(400):0100x}" for _ in range(100)) for _ in range(300)]
+    texts[200] = texts[7] + " more"
+    docs = docs_of(spark, texts).repartition(4).write.parquet(path := fresh_path(spark, "docs")) or spark.read.parquet(path)
+    before = shuffled()
+    got = {x["doc_id"]: x["class_id"] for x in neardup.near_duplicates(docs).collect()}
+    assert shuffled() - before < sum(map(len, texts)) / 2
+    assert got == {k: 7 if k == 200 else k for k in range(300)}
+
+
+@pytest.mark.parametrize("bits", [1 << 26, 1 << 15, 64])
+def test_bitmap_loses_no_key(spark, bits):
+    rows = spark.range(40_000).select(F.when(F.col("id") > 0, F.col("id")).alias("a"), F.col("id").cast("string").alias("b"))
+    keys = rows.where("a is null or a % 10 = 0").select(F.col("a").alias("x"), F.col("b").alias("y"))
+    kept = {tuple(x) for x in neardup._likely(rows, ["a", "b"], keys.unionAll(keys), neardup.Settings(bits=bits)).collect()}
+    assert {tuple(x) for x in keys.collect()} <= kept
+    assert len(kept) < 4500 + 36_000 * (bits < 1 << 26)
+    assert neardup._likely(rows, ["a"], keys.select("x").limit(0), neardup.Settings()).count() == 0
+    assert neardup._likely(rows.limit(0), ["a"], keys.select("x"), neardup.Settings()).count() == 0
+
+
 def test_repeated_lines_cost_no_links(spark):
     """Near copies of set similarity 0.8 or more in which a line stands once and a thousand times."""
     r = random.Random(8)
