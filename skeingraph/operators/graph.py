@@ -62,15 +62,18 @@ def supergraph(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def skeleton(edges: DataFrame, heat: DataFrame, target: int = 500_000) -> DataFrame:
-    """src, dst, weight: every node's best edge, even beyond ``target``, then the best of the rest up to it. Weight (ca + cb) / sqrt(da db); heat: node, heat."""
+    """src, dst, weight: every node's best edge, even beyond ``target``, then the best of the rest up to it. Weight (ca + cb) / sqrt(da db), NaN the greatest and null the
+    least; heat: node, heat. Of the rows of one pair, which a repeated node of heat brings, only the best can be a node's best edge."""
     pairs = written(undirected(edges), "pairs")
     deg = degree(pairs)
     of = lambda end, tag: heat.join(deg, "node").select(F.col("node").alias(end), F.col("heat").alias(f"c{tag}"), F.col("degree").alias(f"d{tag}"))
     weighed = pairs.join(of("src", "a"), "src").join(of("dst", "b"), "dst").select("src", "dst", ((F.col("ca") + F.col("cb")) / F.sqrt(F.col("da") * F.col("db"))).alias("weight"))
     weighed = written(weighed, "weighed")
     ends = weighed.select("src", "dst", "weight", F.explode(F.array("src", "dst")).alias("node"))
-    best = ends.groupBy("node").agg(F.min(F.struct((-F.col("weight")).alias("w"), "src", "dst")).alias("b")).select("b.src", "b.dst").distinct()
-    marked = written(weighed.join(best.withColumn("first", F.lit(1)), ["src", "dst"], "left"), "marked")
+    falling = F.struct(F.col("weight").isNull().alias("none"), (~F.isnan("weight")).alias("number"), (-F.col("weight")).alias("w"), "src", "dst")
+    best = ends.groupBy("node").agg(F.min(falling).alias("b")).select("b.src", "b.dst", F.lit(1).alias("copy")).distinct()
+    copies = weighed.withColumn("copy", F.row_number().over(Window.partitionBy("src", "dst").orderBy(F.desc("weight"))))
+    marked = written(copies.join(best.withColumn("first", F.lit(1)), ["src", "dst", "copy"], "left"), "marked")
     covering = marked.where("first = 1")
     fill = marked.where("first is null").orderBy(F.desc("weight"), "src", "dst").limit(max(0, target - covering.count()))
     return covering.unionAll(fill).orderBy(F.col("first").desc_nulls_last(), F.desc("weight"), "src", "dst").select("src", "dst", "weight")
